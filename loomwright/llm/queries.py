@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, media, pieces, quality
+from . import chatfmt, media, mixing, oracles, pieces, pii, quality, secrets
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -31,6 +31,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatfmt.read_back(chatfmt.segments(turns.unionByName(control)))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents")).drop("max_score")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(_table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECE_MODEL))
 
@@ -39,14 +47,27 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"), with_media=False).drop("error")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op5_chat_format": op5_chat_format,
+        "op6_source_mixing": op6_source_mixing,
+        "op7_pii": op7_pii,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_media_columns": op9_media_columns,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": oracles.quality_sql(),
+        "op5_chat_format": oracles.CHAT_SQL,
+        "op6_source_mixing": oracles.MIXING_SQL,
+        "op7_pii": oracles.pii_sql(),
+        "op10_secret_scan": oracles.secrets_sql(),
+    }
