@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, media, mixing, oracles, pieces, pii, quality, secrets
+from . import chatfmt, media, mixing, neardup, oracles, pieces, pii, quality, secrets
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -22,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -54,6 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op5_chat_format": op5_chat_format,
         "op6_source_mixing": op6_source_mixing,
         "op7_pii": op7_pii,
