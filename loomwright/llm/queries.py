@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, media, mixing, neardup, oracles, pieces, pii, quality, secrets
+from . import chatfmt, langid, media, mixing, neardup, oracles, pieces, pii, quality, secrets, toxicity
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -26,6 +26,15 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -59,6 +68,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_language_id": op3_language_id,
+        "op4_toxicity": op4_toxicity,
         "op5_chat_format": op5_chat_format,
         "op6_source_mixing": op6_source_mixing,
         "op7_pii": op7_pii,
