@@ -6,11 +6,16 @@
    smallest give the overlaps. Two similar sets share at least a known part of those values
    (five standard deviations below the expected one), so it is enough to list each class
    under its rarest values up to that part: two that share more still meet.
-3. Lists are worked off by hubs: the member whose values are most frequent is held against
-   all members outside its component, the links are joined to components, and what a list
-   still has of other components gets the next hub. After ``HUB_ROUNDS`` rounds, lists that
-   still have several components are joined with themselves across components; the sketches
-   are compared inside that join, so only likely pairs leave it. No list is capped.
+3. Lists are worked off by hubs. A list's hub is the member whose values are most frequent;
+   every member that is likely to be similar to it is compared with it on full sets. That
+   gives links, and for each such member its difference from the hub: the shingles that only
+   one of the two has. Two members differ by what their differences don't share, so all pairs
+   of members near the same hub are decided exactly by their differences: a pair that isn't
+   linked through the hub must share more than half of one's difference, so differences get
+   inverted lists of their rarest shingles, and the test runs inside the join on these lists,
+   first against each list's member with the smallest difference, then across components.
+   Members that aren't near their list's hub are compared with the list's members of other
+   components; that join lets out only pairs that the sketches find likely. No list is capped.
 4. A pair's similarity is first estimated from the sketch of the union; likely pairs (4.5
    standard deviations of room) are confirmed on the full sets of the whole texts.
 
@@ -39,7 +44,6 @@ from .storage import Workspace
 
 SKETCH = 64
 LISTED = 32
-HUB_ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -90,26 +94,31 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(sizes).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. ``texts``: doc_id, text of at least all in ``pairs``."""
+def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b, n_a, n_b, linked, delta``: each pair held against each other on full sets; delta has what only one of them has.
+
+    ``texts``: doc_id, text of at least all documents in ``pairs``.
+    """
+    names = ["a", "b", "n_a", "n_b", "linked", "delta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch, "text_b", tb.SLICE_BYTES // 2):
                 seen: dict[int, np.ndarray] = {}
-                ids_a, ids_b = part.column("a").to_numpy(), part.column("b").to_numpy()
-                good = np.zeros(len(ids_a), bool)
-                sets_b = shingle_sets(part.column("text_b"), width)
-                for k, (a, y) in enumerate(zip(ids_a.tolist(), sets_b)):
+                rows = []
+                for k, (a, b, y) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part.column("text_b"), width))):
                     x = seen.get(a)
                     if x is None:
                         x = seen[a] = shingle_sets(part.column("text_a").slice(k, 1), width)[0]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[k] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([pa.array(ids_a[good]), pa.array(ids_b[good])], ["a", "b"])
+                    delta = np.setxor1d(x, y, assume_unique=True)
+                    both = (len(x) + len(y) - len(delta)) // 2
+                    rows.append((a, b, len(x), len(y), 100 * both >= percent * (both + len(delta)), delta.view(np.int64)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], names)
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    whole = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return whole.mapInArrow(run, "a long, b long, n_a long, n_b long, linked boolean, delta array<long>")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -128,19 +137,19 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = space.keep("texts", texts.join(listed.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    links: DataFrame | None = None
-    joined: DataFrame | None = None
-    for turn in range(HUB_ROUNDS + 1):
-        members = _members(lists, joined, space, turn)
-        pairs = _hub_pairs(members, likely, percent) if turn < HUB_ROUNDS else _rest_pairs(members, likely, percent)
-        pairs = space.keep(f"pairs-{turn}", pairs)
-        found = space.keep(f"links-{turn}", confirmed(pairs, texts, width, percent))
-        if turn and not found.take(1):
-            continue
-        links = found if links is None else links.unionByName(found)
-        # What is joined already goes on as one edge for each class.
-        graph = found if joined is None else found.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        joined = space.keep(f"joined-{turn}", components(graph, space, f"stars-{turn}"))
+    hubs = space.keep("hubs", _hubs(lists))
+    pairs = lists.join(hubs, "value").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    pairs = space.keep("pairs", _with_sketches(pairs, likely, percent))
+    near = space.keep("near", compared(pairs, texts, width, percent))
+    links = near.where("linked").select("a", "b")
+    joined = space.keep("joined-0", components(links, space, "stars-0"))
+    deltas = space.keep("deltas", _delta_lists(near, percent))
+    for turn in (1, 2):
+        more = space.keep(f"links-{turn}", _delta_links(deltas, joined, percent, all_pairs=turn == 2))
+        joined = _joined(more, joined, space, turn)
+    far = space.keep("far", _far_pairs(lists, hubs, near, joined, likely, percent))
+    more = space.keep("links-3", compared(far, texts, width, percent).where("linked").select("a", "b"))
+    joined = _joined(more, joined, space, 3)
     ids = classes.join(joined, F.col("class") == F.col("node"), "left").select(*key, F.coalesce("component", "class").alias("component_id"))
     out = every.select("doc_id", *key).join(ids, key, "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -162,22 +171,61 @@ def _lists(sketches: DataFrame, percent: int) -> DataFrame:
     return sized.select("class", "weight", F.explode(F.slice("found", 1, F.col("room").cast("int"))).alias("x")).select(F.col("x.value").alias("value"), "class", "weight")
 
 
-def _members(lists: DataFrame, joined: DataFrame | None, space: Workspace, turn: int) -> DataFrame:
-    """The lists with each member's component, those with one component left out."""
-    if joined is None:
-        return lists.withColumn("component", F.col("class"))
-    now = lists.join(joined, F.col("class") == F.col("node"), "left").select("value", "class", "weight", F.coalesce("component", "class").alias("component"))
-    open_ = now.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("value")
-    return space.keep(f"members-{turn}", now.join(open_, "value"))
+def _hubs(lists: DataFrame) -> DataFrame:
+    """``value, hub``: of each list with two members or more, the one whose values are most frequent."""
+    top = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("class"))).alias("top"), F.count(F.lit(1)).alias("n"))
+    return top.where("n > 1").select("value", (-F.col("top.col2")).alias("hub"))
+
+
+def _joined(links: DataFrame, joined: DataFrame, space: Workspace, turn: int) -> DataFrame:
+    """Components with further links; what is joined already goes on as one edge for each class."""
+    if not links.take(1):
+        return joined
+    graph = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return space.keep(f"joined-{turn}", components(graph, space, f"stars-{turn}"))
 
 
-def _hub_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Each list's hub with the members of other components. The heaviest component's place was taken in the rounds before."""
-    heavy = members.groupBy("value", "component").agg(F.max(F.struct("weight", -F.col("class"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    # The hub comes from the smallest component: the others have had theirs, or are in the largest one.
-    hub = heavy.groupBy("value").agg(F.min(F.struct("n", -F.col("top.weight"), -F.col("top.col2"), "component")).alias("h"))
-    hub = hub.select("value", F.col("h.component").alias("hub_component"), F.col("h").getField("col3").alias("hub"))
-    return _with_sketches(members.join(hub, "value").where("component <> hub_component").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), sketches, percent)
+def _delta_lists(near: DataFrame, percent: int) -> DataFrame:
+    """``hub, element, class, n, linked, delta``: members near a hub under their difference's rarest shingles.
+
+    With sizes n and differences d from the hub, two members are similar enough if they share
+    ``(d_x + d_y - c (n_x + n_y)) / 2`` of these, c = (1 - t) / (1 + t). At least one of the two isn't
+    linked to the hub, so its d is above ``c (n + n_hub)``; a shared part is no larger than either
+    difference. The least that a member can share with any partner follows from these.
+    """
+    t = percent / 100
+    c = (1 - t) / (1 + t)
+    d = F.size("delta")
+    rows = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "linked", "delta").where(d > 0)
+    # Hubs whose members are all linked to them have nothing left to decide.
+    open_ = rows.groupBy("hub").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("size")).where("NOT all_linked AND size > 1").select("hub")
+    rows = rows.join(open_, "hub")
+    # A little less than the bound, for the rounding of c.
+    least = F.when(F.col("linked"), (d + c * (F.col("n_hub") - F.col("n"))) / 2).otherwise(d - F.col("n") * (1 - t) / t) - 1e-6
+    room = d - F.greatest(F.ceil(least), F.lit(1)) + 1
+    elements = rows.select("hub", "class", F.explode("delta").alias("element"))
+    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    found = elements.join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("found"))
+    sized = found.join(rows, ["hub", "class"]).withColumn("room", room - (d - F.size("found"))).where("room > 0")
+    return sized.select("hub", "class", "n", "linked", "delta", F.explode(F.slice("found", 1, F.col("room").cast("int"))).alias("x")).select("hub", "class", "n", "linked", "delta", F.col("x.element").alias("element"))
+
+
+def _delta_links(deltas: DataFrame, joined: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """Links across components that differences decide; without ``all_pairs`` only those to a list's smallest difference."""
+    now = deltas.join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
+    one = now.select("hub", "element", *(F.col(x).alias(f"{x}_a") for x in ("class", "n", "linked", "delta", "component")))
+    two = now.select("hub", "element", *(F.col(x).alias(f"{x}_b") for x in ("class", "n", "linked", "delta", "component")))
+    if not all_pairs:
+        first = now.groupBy("hub", "element").agg(F.min(F.struct(F.size("delta"), "class")).alias("x")).select("hub", "element", F.col("x.class").alias("class_a"))
+        one = one.join(first, ["hub", "element", "class_a"], "left_semi")
+    n = F.col("n_a") + F.col("n_b")
+    apart = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
+    open_ = (F.col("component_a") != F.col("component_b")) & ~(F.col("linked_a") & F.col("linked_b"))
+    if all_pairs:
+        open_ = open_ & (F.col("class_a") < F.col("class_b"))
+    similar = open_ & (100 * (n - apart) >= percent * (n + apart))
+    pairs = one.join(two, (one["hub"] == two["hub"]) & (one["element"] == two["element"]) & similar)
+    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def _with_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -186,14 +234,19 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return _likely(pairs.join(two, "b").join(one, "a"), percent)
 
 
-def _rest_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across the components of the lists that are left."""
+def _far_pairs(lists: DataFrame, hubs: DataFrame, near: DataFrame, joined: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs across components of a list where one of the two isn't near the list's hub."""
     t = percent / 100
     least = t - 4.5 * math.sqrt(t * (1 - t) / SKETCH)
-    rows = members.join(sketches, "class").select("value", "class", "component", "n", "sketch")
-    one, two = (rows.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "component", "n", "sketch"))) for s in "ab")
-    likely = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
-    return one.join(two, (one["value"] == two["value"]) & likely).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    known = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.lit(True).alias("near"))
+    now = lists.join(hubs, "value").join(known, ["hub", "class"], "left").join(joined, F.col("class") == F.col("node"), "left")
+    rows = now.select("value", "class", (F.coalesce("near", F.lit(False)) | (F.col("class") == F.col("hub"))).alias("near"), F.coalesce("component", "class").alias("component"))
+    # The hub itself was compared with all members by their sketches, so only its likely ones are near it.
+    rows = rows.join(sketches, "class").select("value", "class", "near", "component", "n", "sketch")
+    one, two = (rows.select("value", *(F.col(x).alias(f"{x}_{s}") for x in ("class", "near", "component", "n", "sketch"))) for s in "ab")
+    likely = (F.col("component_a") != F.col("component_b")) & (F.col("near_b") | (F.col("class_a") < F.col("class_b"))) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
+    one = one.where("NOT near_a")
+    return one.join(two, (one["value"] == two["value"]) & likely).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
