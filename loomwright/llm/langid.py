@@ -204,7 +204,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     got = sorted(((r["lang"], bytes(r["x"])) for r in sample(docs, rows).mapInArrow(run, "lang string, x binary").toLocalIterator()))
-    x = np.array([np.frombuffer(v, np.float16) for _, v in got], np.float32).reshape(len(got), -1)
+    x = np.array([np.frombuffer(v, np.float16) for _, v in got], np.float32).reshape(len(got), 1 << BITS)
     return train(x, [name for name, _ in got])
 
 
