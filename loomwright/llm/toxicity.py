@@ -36,7 +36,7 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 20_000
 #: A feature marks words as toxic if so many toxic documents have it, and so many times as often as others.
-LEAST_DOCS, LEAST_RATIO = 3, 12.0
+LEAST_DOCS, LEAST_RATIO = 5, 12.0
 #: From this score on a document counts as toxic.
 TOXIC = 0.7
 
@@ -161,7 +161,7 @@ def label_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     return label & toxic[doc]
 
 
-def train(words: Words, toxic: np.ndarray, rounds: int = 6, batch: int = 400, rate: float = 0.3, ridge: float = 1e-4, seed: int = 3) -> Field:
+def train(words: Words, toxic: np.ndarray, rounds: int = 10, batch: int = 400, rate: float = 0.8, ridge: float = 1e-4, seed: int = 3) -> Field:
     """Fits the field to labelled words by adaptive gradient steps on their conditional likelihood, then the documents' model."""
     label = label_words(words, toxic)
     doc = np.repeat(np.arange(len(toxic)), np.diff(words.at))
