@@ -143,13 +143,15 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     near = space.keep("near", compared(pairs, texts, width, percent))
     links = near.where("linked").select("a", "b")
     joined = space.keep("joined-0", components(links, space, "stars-0"))
-    deltas = space.keep("deltas", _delta_lists(near, percent))
-    for turn in (1, 2):
-        more = space.keep(f"links-{turn}", _delta_links(deltas, joined, percent, all_pairs=turn == 2))
+    lists_d = space.keep("delta-lists", _delta_lists(near, percent))
+    for turn, chosen in ((1, _to_smallest), (2, _across)):
+        open_ = space.keep(f"open-{turn}", _open(lists_d, joined))
+        more = space.keep(f"links-{turn}", chosen(open_, near, percent))
         joined = _joined(more, joined, space, turn)
     far = space.keep("far", _far_pairs(lists, hubs, near, joined, likely, percent))
     more = space.keep("links-3", compared(far, texts, width, percent).where("linked").select("a", "b"))
     joined = _joined(more, joined, space, 3)
+    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "delta-lists", "open-1", "open-2", "far", "links-1", "links-2", "links-3")
     ids = classes.join(joined, F.col("class") == F.col("node"), "left").select(*key, F.coalesce("component", "class").alias("component_id"))
     out = every.select("doc_id", *key).join(ids, key, "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -186,7 +188,7 @@ def _joined(links: DataFrame, joined: DataFrame, space: Workspace, turn: int) ->
 
 
 def _delta_lists(near: DataFrame, percent: int) -> DataFrame:
-    """``hub, element, class, n, linked, delta``: members near a hub under their difference's rarest shingles.
+    """``hub, element, class, d, linked``: members near a hub under their difference's rarest shingles.
 
     With sizes n and differences d from the hub, two members are similar enough if they share
     ``(d_x + d_y - c (n_x + n_y)) / 2`` of these, c = (1 - t) / (1 + t). At least one of the two isn't
@@ -199,32 +201,55 @@ def _delta_lists(near: DataFrame, percent: int) -> DataFrame:
     rows = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "linked", "delta").where(d > 0)
     # Hubs whose members are all linked to them have nothing left to decide.
     open_ = rows.groupBy("hub").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("size")).where("NOT all_linked AND size > 1").select("hub")
-    rows = rows.join(open_, "hub")
+    rows = rows.join(open_, "hub").withColumn("d", d)
     # A little less than the bound, for the rounding of c.
     least = F.when(F.col("linked"), (d + c * (F.col("n_hub") - F.col("n"))) / 2).otherwise(d - F.col("n") * (1 - t) / t) - 1e-6
     room = d - F.greatest(F.ceil(least), F.lit(1)) + 1
     elements = rows.select("hub", "class", F.explode("delta").alias("element"))
     often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = elements.join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("found"))
-    sized = found.join(rows, ["hub", "class"]).withColumn("room", room - (d - F.size("found"))).where("room > 0")
-    return sized.select("hub", "class", "n", "linked", "delta", F.explode(F.slice("found", 1, F.col("room").cast("int"))).alias("x")).select("hub", "class", "n", "linked", "delta", F.col("x.element").alias("element"))
-
-
-def _delta_links(deltas: DataFrame, joined: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """Links across components that differences decide; without ``all_pairs`` only those to a list's smallest difference."""
-    now = deltas.join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-    one = now.select("hub", "element", *(F.col(x).alias(f"{x}_a") for x in ("class", "n", "linked", "delta", "component")))
-    two = now.select("hub", "element", *(F.col(x).alias(f"{x}_b") for x in ("class", "n", "linked", "delta", "component")))
-    if not all_pairs:
-        first = now.groupBy("hub", "element").agg(F.min(F.struct(F.size("delta"), "class")).alias("x")).select("hub", "element", F.col("x.class").alias("class_a"))
-        one = one.join(first, ["hub", "element", "class_a"], "left_semi")
+    sized = found.join(rows.select("hub", "class", "d", "linked", room.alias("room")), ["hub", "class"]).withColumn("room", F.col("room") - (F.col("d") - F.size("found"))).where("room > 0")
+    return sized.select("hub", "class", "d", "linked", F.explode(F.slice("found", 1, F.col("room").cast("int"))).alias("x")).select("hub", "class", "d", "linked", F.col("x.element").alias("element"))
+
+
+def _open(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The lists that still have several components and a member that isn't linked to the hub, with components."""
+    now = lists.join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
+    some = now.groupBy("hub", "element").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("linked").alias("all_linked")).where("x <> y AND NOT all_linked").select("hub", "element")
+    return now.join(some, ["hub", "element"])
+
+
+def _apart() -> Column:
+    """How many shingles only one of two members has, by their differences from the same hub."""
+    return F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
+
+
+def _similar(percent: int) -> Column:
     n = F.col("n_a") + F.col("n_b")
-    apart = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
-    open_ = (F.col("component_a") != F.col("component_b")) & ~(F.col("linked_a") & F.col("linked_b"))
-    if all_pairs:
-        open_ = open_ & (F.col("class_a") < F.col("class_b"))
-    similar = open_ & (100 * (n - apart) >= percent * (n + apart))
-    pairs = one.join(two, (one["hub"] == two["hub"]) & (one["element"] == two["element"]) & similar)
+    return 100 * (n - _apart()) >= percent * (n + _apart())
+
+
+def _sides(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = {side: near.select(F.col("a").alias("hub"), F.col("b").alias(f"class_{side}"), F.col("n_b").alias(f"n_{side}"), F.col("delta").alias(f"delta_{side}")) for side in "ab"}
+    return own["a"], own["b"]
+
+
+def _to_smallest(lists: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Links between each list's member with the smallest difference and its members of other components."""
+    first = lists.groupBy("hub", "element").agg(F.min(F.struct("d", "class", "component", "linked")).alias("x")).select("hub", "element", F.col("x.class").alias("class_a"), F.col("x.component").alias("component_a"), F.col("x.linked").alias("linked_a"))
+    pairs = lists.join(first, ["hub", "element"]).where("component <> component_a AND NOT (linked AND linked_a)").select("hub", "class_a", F.col("class").alias("class_b")).distinct()
+    one, two = _sides(near)
+    held = pairs.join(two, ["hub", "class_b"]).join(one, ["hub", "class_a"]).where(_similar(percent))
+    return held.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def _across(lists: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Links between any two members of a list in different components; the test runs inside the join."""
+    one, two = _sides(near)
+    slim = {side: lists.select("hub", "element", *(F.col(x).alias(f"{x}_{side}") for x in ("class", "linked", "component"))) for side in "ab"}
+    one, two = slim["a"].join(one, ["hub", "class_a"]), slim["b"].join(two, ["hub", "class_b"])
+    open_ = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & ~(F.col("linked_a") & F.col("linked_b"))
+    pairs = one.join(two, (one["hub"] == two["hub"]) & (one["element"] == two["element"]) & open_ & _similar(percent))
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
