@@ -86,12 +86,17 @@ def estimate(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
+def _may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the estimate can be so high, by the values in common alone; the union's sketch is no shorter than either one."""
+    return F.size(F.array_intersect(a, b)) >= F.greatest(F.size(a), F.size(b)) * least
+
+
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b with n and sketch each) that may be similar enough, by size and by estimate."""
     t = percent / 100
     least = t - 4.5 * math.sqrt(t * (1 - t) / SKETCH)
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return pairs.where(sizes).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b").distinct()
+    return pairs.where(sizes & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b").distinct()
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -269,7 +274,7 @@ def _far_pairs(lists: DataFrame, hubs: DataFrame, near: DataFrame, joined: DataF
     # The hub itself was compared with all members by their sketches, so only its likely ones are near it.
     rows = rows.join(sketches, "class").select("value", "class", "near", "component", "n", "sketch")
     one, two = (rows.select("value", *(F.col(x).alias(f"{x}_{s}") for x in ("class", "near", "component", "n", "sketch"))) for s in "ab")
-    likely = (F.col("component_a") != F.col("component_b")) & (F.col("near_b") | (F.col("class_a") < F.col("class_b"))) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
+    likely = (F.col("component_a") != F.col("component_b")) & (F.col("near_b") | (F.col("class_a") < F.col("class_b"))) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
     one = one.where("NOT near_a")
     return one.join(two, (one["value"] == two["value"]) & likely).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
