@@ -78,6 +78,15 @@ def words_of(column: pa.Array) -> Words:
     return Words(features, run.at, run.start, run.end)
 
 
+def words_by_slices(column: pa.Array) -> Words:
+    """The same, slice by slice, so that the hashing's tables stay small; places count from each slice's first byte."""
+    parts = [words_of(x.column("text")) for x in tb.slices(pa.RecordBatch.from_arrays([column], ["text"]), "text")]
+    if not parts:
+        return words_of(column)
+    sizes = np.concatenate([np.diff(p.at) for p in parts])
+    return Words(np.concatenate([p.features for p in parts]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.start for p in parts]), np.concatenate([p.end for p in parts]))
+
+
 @dataclass
 class Field:
     """Weights for toxic over clean, log weights of transitions (from, to) and of the first state; the documents' model."""
@@ -263,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
     texts = got.column("text").combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    return train(words_of(texts), got.column("toxic").to_numpy() > 0)
+    return train(words_by_slices(texts), got.column("toxic").to_numpy() > 0)
 
 
 def score_documents(docs: DataFrame, field: Field, with_spans: bool = True) -> DataFrame:
