@@ -3,8 +3,10 @@
 Both steps are linear support vector machines over the frequencies of hashed byte trigrams
 of the lower-cased text. A family is told by one-versus-one votes between families, a
 language by one-versus-one votes between the languages of that family. Models are trained
-on a bounded sample of labelled rows and are a few tables of weights, so a text is scored
-by looking up each of its trigrams once in each table.
+on a sample of labelled rows, bounded for each language, and are a table of weights for
+each pair, so a text is scored by its trigrams' frequencies times these tables. Every
+language that a usable row has is learned; the tables, and with them the work, grow with
+the square of the number of families and of a family's languages.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. With one learned
 language every other text gets it, with score 1; with none all are ``und``. Languages that
@@ -14,13 +16,14 @@ results. Only the columns named are read, and predictions see only the text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -36,11 +39,14 @@ FAMILIES = {
 UNKNOWN = "und"
 #: Weights are looked up by so many bits of a trigram's hash.
 BITS = 12
-#: Rows that a model is fitted on, at most: about so many, the same for each language; and code points of each, at most.
+#: Rows that a model is fitted on: so many, dealt evenly over the languages, but LANGUAGE_ROWS of each language at least
+#: (or all it has), however many languages there are; and code points of each row, at most.
 SAMPLE_ROWS = 3200
+LANGUAGE_ROWS = 50
 SAMPLE_CHARS = 40_000
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 64
+#: Rows whose trigrams are counted together, and machines that are applied together, so that memory follows neither.
+COUNTED = 256
+APPLIED = 256
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, family string"
 
@@ -154,21 +160,26 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, list
         ends = at[1:] - back
         inside[ends[ends >= at[:-1]]] = False
     inside = inside[: len(grams)]
-    count = np.maximum(tb.sums(np.append(inside, np.zeros(len(data) - len(grams), bool)), at), 1)
-    margins = {}
-    for m in model.machines():
-        worth = np.zeros(len(data))
-        worth[: len(grams)] = np.where(inside, m.weights[grams], 0)
-        margins[id(m)] = tb.sums(worth, at) / count + m.bias
-    names = sorted(model.families)
-    families, sure = _winners(names, model.between_families, margins, n) if names else (np.zeros(n, np.int64), np.zeros(n))
+    names, machines = sorted(model.families), model.machines()
     language, score = np.full(n, UNKNOWN, object), np.zeros(n)
-    for k, name in enumerate(names):
-        members = model.families[name]
-        best, own = _winners(members, model.within[name], margins, n)
-        here = families == k
-        language[here] = np.array(members, object)[best[here]]
-        score[here] = np.minimum(sure, own)[here]
+    for first in range(0, n if names else 0, COUNTED):
+        rows = min(COUNTED, n - first)
+        where = np.flatnonzero(inside[at[first] : at[first + rows]]) + at[first]
+        text = np.searchsorted(at[first : first + rows + 1], where, "right") - 1
+        x = np.bincount((text << BITS) + grams[where], minlength=rows << BITS).reshape(rows, 1 << BITS).astype(np.float32)
+        x /= np.maximum(x.sum(1, keepdims=True), 1)
+        margins = {}
+        for k in range(0, len(machines), APPLIED):
+            some = machines[k : k + APPLIED]
+            margin = x @ np.stack([m.weights for m in some]).T + np.array([m.bias for m in some])
+            margins |= {id(m): margin[:, j] for j, m in enumerate(some)}
+        families, sure = _winners(names, model.between_families, margins, rows)
+        for k, name in enumerate(names):
+            members = model.families[name]
+            best, own = _winners(members, model.within[name], margins, rows)
+            here = np.flatnonzero(families == k)
+            language[first + here] = np.array(members, object)[best[here]]
+            score[first + here] = np.minimum(sure, own)[here]
     letters = tb.sums(tb.LETTER[data] & (data < 128), at) > 0
     for k in np.flatnonzero(~letters).tolist():
         if not any(c.isalpha() for c in bytes(data[at[k] : at[k + 1]]).decode()):
@@ -180,17 +191,24 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def quota(rows: int, languages: int) -> int:
+    """Rows that are sampled of each language, at most."""
+    return max(rows // max(languages, 1), LANGUAGE_ROWS)
+
+
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Labelled rows that aren't held out, by hashes of their ids: about ``rows`` at most, dealt evenly over the languages."""
+    """Labelled rows that aren't held out, of every language, by hashes of their ids: ``quota`` of each at most."""
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return usable.select("lang", "text").limit(0)
-    share = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (share < int(1_000_000 * min(1.0, rows / len(counts) / r["n"]))))
-    return usable.where(chosen).select("lang", "text").limit(2 * rows)
+    most = quota(rows, len(counts))
+    # A few more than are wanted pass by the hash alone; the smallest hashes of each language are taken from these.
+    some = most + 6 * math.isqrt(most)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(1_000_000 * min(1.0, some / r["n"]))) for r in counts], "lang string, share long")
+    chosen = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)).alias("hash"), F.xxhash64("doc_id", F.lit("langid")).alias("order")).join(F.broadcast(shares), "lang").where("hash < share")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
+    return chosen.withColumn("place", place).where(F.col("place") <= most).select("lang", "text")
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -203,7 +221,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 x = frequencies(part.column("text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = sorted(((r["lang"], bytes(r["x"])) for r in sample(docs, rows).mapInArrow(run, "lang string, x binary").toLocalIterator()))
+    got = sorted(((r["lang"], bytes(r["x"])) for r in sample(docs, rows).mapInArrow(run, "lang string, x binary").collect()))
     x = np.array([np.frombuffer(v, np.float16) for _, v in got], np.float32).reshape(len(got), 1 << BITS)
     return train(x, [name for name, _ in got])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import product
 
 import numpy as np
@@ -31,6 +32,20 @@ def test_texts_without_letters_have_no_language():
     assert langid.predict(langid.train(x[:1], ["en"]), pa.array(["abc"]))[0] == ["en"]
 
 
+def test_every_language_is_learned(spark):
+    words = {f"l{k:02d}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}{chr(97 + k % 26)}" for c in "xyz"] for k in range(70)}
+    rows = [(20 * k + j, " ".join(words[name] * (1 + j % 3)), name) for k, name in enumerate(words) for j in range(20 - k // 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sampled = Counter(r["lang"] for r in langid.sample(docs).collect())
+    known = Counter(r["lang"] for r in docs.where(~langid.held_out()).collect())
+    assert sampled == known and len(sampled) == 70
+    few = Counter(r["lang"] for r in langid.sample(docs.unionByName(docs.where("lang = 'l00'").crossJoin(spark.range(1, 60)).selectExpr("doc_id + 5000 * id AS doc_id", "text", "lang"))).collect())
+    assert few["l00"] == langid.quota(langid.SAMPLE_ROWS, 70) == 50 and len(few) == 70
+    model = langid.fit(docs)
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_marginals_are_those_of_all_paths():
     rng = np.random.default_rng(0)
     emission, at = rng.normal(size=7), np.array([0, 3, 3, 7])
