@@ -196,18 +196,24 @@ def quota(rows: int, languages: int) -> int:
     return max(rows // max(languages, 1), LANGUAGE_ROWS)
 
 
+def limit(wanted: int, n: int) -> int:
+    """The 64-bit hash up to which about ``wanted`` of ``n`` rows lie; all rows if there are no more."""
+    return (1 << 63) - 1 if wanted >= n else (wanted << 64) // n - (1 << 63)
+
+
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """Labelled rows that aren't held out, of every language, by hashes of their ids: ``quota`` of each at most."""
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", F.lit("langid")).alias("hash"))
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first")).collect()
     if not counts:
         return usable.select("lang", "text").limit(0)
     most = quota(rows, len(counts))
     # A few more than are wanted pass by the hash alone; the smallest hashes of each language are taken from these.
     some = most + 6 * math.isqrt(most)
-    shares = docs.sparkSession.createDataFrame([(r["lang"], int(1_000_000 * min(1.0, some / r["n"]))) for r in counts], "lang string, share long")
-    chosen = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)).alias("hash"), F.xxhash64("doc_id", F.lit("langid")).alias("order")).join(F.broadcast(shares), "lang").where("hash < share")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], max(r["first"], limit(some, r["n"]))) for r in counts], "lang string, limit long")
+    chosen = usable.join(F.broadcast(limits), "lang").where("hash <= limit")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", F.xxhash64("text")))
     return chosen.withColumn("place", place).where(F.col("place") <= most).select("lang", "text")
 
 

@@ -46,6 +46,13 @@ def test_every_language_is_learned(spark):
     assert all(r["lang_pred"] == r["lang"] for r in got)
 
 
+def test_a_share_of_the_rows_is_never_none():
+    for n in (801, 10**6, 10**9, 10**12, 10**15):
+        rows = (langid.limit(800, n) + (1 << 63)) * n / (1 << 64)
+        assert abs(rows - 800) < 1, n
+    assert langid.limit(800, 800) == (1 << 63) - 1
+
+
 def test_marginals_are_those_of_all_paths():
     rng = np.random.default_rng(0)
     emission, at = rng.normal(size=7), np.array([0, 3, 3, 7])
