@@ -6,7 +6,9 @@ its mod-97 checksum, and ``ssn``, which has no checksum and needs a word nearby
 
 Patterns are written so that a search takes time in proportion to the text: runs are
 possessive, and a search doesn't begin inside a run in which it has begun already. They
-find what the plain patterns find.
+find what the plain patterns find. The groups of an ``iban`` can't be told from short upper-case
+words or numbers after it, so its pattern only finds where one may begin and how far one may
+reach; of the ends at a space or at the reach, the last one whose checksum holds is taken.
 
 Cases: a null text counts as empty and has no spans. Repeated rows give repeated results,
 empty tables none. Offsets are code points, ends exclusive. Only the columns named are read;
@@ -32,6 +34,8 @@ class Kind:
     near: tuple[str, ...]
     against: tuple[str, ...] = ()
     base: bool = True
+    #: The group of the pattern that the rule looks at.
+    group: int = 0
 
 
 #: The base kinds in their order, then the added ones.
@@ -40,7 +44,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", 0.5, ("ip", "host", "server", "address"), ("version", "section")),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", 0.4, ("card", "credit", "visa", "payment"), ("serial", "tracking")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, ("phone", "call", "tel", "mobile", "fax"), ("score", "total")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", 0.4, ("iban", "bank", "account", "transfer"), base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}", 0.4, ("iban", "bank", "account", "transfer"), base=False, group=1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, ("ssn", "social security", "taxpayer"), base=False),
 )
 CONTEXT, CONFIRMED = 0.2, 0.3
@@ -85,11 +89,30 @@ def _valid(kind: str, hit: Column) -> Column | None:
         return luhn(_digits(hit))
     if kind == "phone":
         return F.length(_digits(hit)).between(8, 15)
-    if kind == "iban":
-        return mod97(F.replace(hit, F.lit(" "), F.lit("")))
     return None
 
 
+def _ibans(spans: Column) -> Column:
+    """Of each reach (``part``) the longest number that the checksum confirms; none that lies inside an earlier one."""
+
+    def longest(s: Column) -> Column:
+        groups = F.split(s["part"], " ")
+
+        def valid(k: Column) -> Column:
+            number = F.array_join(F.slice(groups, F.lit(1), k), "")
+            return (F.length(number) >= 12) & mod97(number)
+
+        k = F.try_element_at(F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), valid), F.lit(1))
+        return F.struct(s["start"].alias("start"), (s["start"] + F.length(F.array_join(F.slice(groups, F.lit(1), k), " "))).alias("end"))
+
+    def step(done: Column, s: Column) -> Column:
+        further = F.struct(s["end"].alias("at"), F.concat(done["out"], F.array(s)).alias("out"))
+        return F.when(s["end"] > done["at"], further).otherwise(done)
+
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(F.transform(spans, longest), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda done: done["out"])
+
+
 def _score(text: Column, kind: Kind, span: Column) -> Column:
     first = F.greatest(span["start"] - BEFORE, F.lit(0))
     around = F.lower(F.concat(F.substring(text, first + 1, span["start"] - first), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(AFTER))))
@@ -104,13 +127,15 @@ def _score(text: Column, kind: Kind, span: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
     """``docs`` with a column ``pii_<kind>`` for each kind: its spans in order, with scores."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({prefix + k.name: places(body, k.pattern) for k in KINDS})
+    found = docs.withColumns({prefix + k.name: places(body, k.pattern, k.group) for k in KINDS})
     return found.withColumns({prefix + k.name: _checked(body, k, F.col(prefix + k.name)) for k in KINDS})
 
 
 def _checked(body: Column, kind: Kind, spans: Column) -> Column:
     """The spans that pass the kind's rule, with scores; added ones only with the score they need."""
-    if kind.name not in ("email", "ssn"):
+    if kind.name == "iban":
+        spans = _ibans(spans)
+    elif kind.name not in ("email", "ssn"):
         spans = F.filter(spans, lambda s: _valid(kind.name, s["hit"]))
     spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.round(_score(body, kind, s), 3).alias("score")))
     return spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST)
