@@ -10,7 +10,9 @@ A source's rate is ``size * share / documents``; ``share`` is its part of the we
 Without weights given, they are the power ``alpha`` of the sources' sizes.
 
 Cases: a null source is the source ``''``; a source without a weight has weight 0 and is
-left out. Repeated rows are repeated alike. An empty table gives an empty result. All
+left out. Repeated rows are repeated alike. A row without an id goes by a hash of its source
+and, where there is one, its text, so such rows are drawn apart unless these are the same.
+An empty table gives an empty result. All
 columns stay; ``copy_no``, ``rate`` and ``mix_key`` replace columns of these names.
 """
 
@@ -52,6 +54,12 @@ def poisson(mean: Column, draw) -> Column:
     return F.when(mean > 0, F.aggregate(F.transform(F.sequence(F.lit(1), parts), one), F.lit(0), lambda a, x: a + x)).otherwise(0)
 
 
+def named(docs: DataFrame) -> Column:
+    """What a row's draws and its place are hashed from: its id, or else its content."""
+    content = F.xxhash64(*(c for c in ("source", "text") if c in docs.columns))
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("content:"), content.cast("string")))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: int | None = None) -> DataFrame:
     """``mix_source, rate``: how often a document of each source is to be expected."""
     counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
@@ -69,16 +77,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """``docs`` with every row repeated to its source's rate and all rows shuffled."""
     docs = docs.drop("copy_no", "rate", "mix_key", "mix_source")
     rate = rates(docs, weights, alpha, size)
-    source = F.coalesce("source", F.lit(""))
+    source, name = F.coalesce("source", F.lit("")), named(docs)
     some = rate.limit(BROADCAST_SOURCES + 1).collect()
     if len(some) <= BROADCAST_SOURCES:
         small = docs.sparkSession.createDataFrame([(r["mix_source"], r["rate"]) for r in some], "mix_source string, rate double")
         rated = docs.withColumn("mix_source", source).join(F.broadcast(small), "mix_source")
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")
         spread = rate.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = docs.withColumn("mix_source", source).withColumn("mix_salt", salt).join(spread, ["mix_source", "mix_salt"]).drop("mix_salt")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     copies = poisson(F.col("rate"), lambda j: uniform(F.lit(str(seed)), j.cast("string"), name))
     many = rated.withColumn("mix_copies", copies).where("mix_copies > 0")
     every = many.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))

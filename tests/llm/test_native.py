@@ -137,3 +137,11 @@ def test_many_sources_are_joined_by_salted_keys(spark, monkeypatch):
     few = sorted(map(tuple, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
     assert sorted(map(tuple, mixing.mix(docs).collect())) == few
+
+
+def test_rows_without_an_id_are_drawn_apart(spark):
+    rows = spark.range(6000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('text ', id) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    got = mixing.mix(rows, {"a": 1.0, "b": 1.0}, size=6000)
+    counts = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert set(counts) == {"a", "b"} and all(abs(n - 3000) < 5 * math.sqrt(3000) for n in counts.values())
+    assert got.where("copy_no = 1").select("mix_key").distinct().count() == got.select("text").distinct().count() > 2000
