@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textbytes as tb
 
@@ -45,16 +46,35 @@ def _among(chars: str) -> np.ndarray:
 _SEPARATOR, _SYMBOL, _CLOSING = _among(SEPARATORS), _among(SYMBOLS), _among(CLOSING)
 
 
-def _seen_before(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key: does an equal one stand before it, and does one stand anywhere else."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
-    earlier, twin = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-    earlier[order[1:]] = same
-    twin[order[1:]] |= same
-    twin[order[:-1]] |= same
-    return earlier, twin
+def _seen_before(numbers: np.ndarray) -> np.ndarray:
+    """Of each number, whether it stands before."""
+    order = np.argsort(numbers, kind="stable")
+    earlier = np.zeros(len(numbers), bool)
+    earlier[order[1:]] = numbers[order[1:]] == numbers[order[:-1]]
+    return earlier
+
+
+def _found_twice(words: np.ndarray, starts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of each window (``starts``: its first word), whether its text has the same ``WINDOW`` words once more."""
+    keys = tb.windows(tb.mix(words.astype(np.uint64)), WINDOW)[starts] ^ tb.mix(text.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(keys)
+    one, two = order[1:], order[:-1]
+    alike = np.flatnonzero(keys[one] == keys[two])
+    one, two = one[alike], two[alike]
+    good = text[one] == text[two]
+    for k in range(WINDOW):
+        good &= words[starts[one] + k] == words[starts[two] + k]
+    if not good.all():
+        # Equal hashes of different windows: all are numbered exactly, two halves at a time.
+        ids, width = words, 1
+        while width < WINDOW:
+            ids = np.unique(ids[: len(ids) - width] * (int(ids.max()) + 1) + ids[width:], return_inverse=True)[1]
+            width *= 2
+        keys = np.unique(text * (int(ids.max()) + 1) + ids[starts], return_inverse=True)[1]
+        return np.bincount(keys)[keys] > 1
+    twin = np.zeros(len(keys), bool)
+    twin[one] = twin[two] = True
+    return twin
 
 
 def measure(column: pa.Array, want_text: bool = True, max_lost_percent: int = MAX_LOST_PERCENT) -> dict[str, np.ndarray | list]:
@@ -62,12 +82,14 @@ def measure(column: pa.Array, want_text: bool = True, max_lost_percent: int = MA
     n_texts = len(at) - 1
     word = tb.words(data, at)
     hasher = tb.Hasher(data)
-    own = tb.mix(np.arange(1, n_texts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     text_of_word = word.text_of()
     n_words = word.per_text()
-    lead = (data & 0xC0) != 0x80
-    word_chars = tb.sums(lead & ~tb.SPACE[data], at)
-    n_symbols = tb.sums(_SYMBOL[data], at)
+    # Bytes that are no first byte of a code point in a word.
+    other = np.flatnonzero(((data & 0xC0) == 0x80) | tb.SPACE[data])
+    word_chars = np.diff(at) - tb.within(other, at[:-1], at[1:])
+    del other
+    symbol = np.flatnonzero(_SYMBOL[data])
+    n_symbols = tb.within(symbol, at[:-1], at[1:])
 
     # Lines: each text is cut after every \n; one more cut ends it.
     breaks = np.flatnonzero(data == 10)
@@ -81,29 +103,19 @@ def measure(column: pa.Array, want_text: bool = True, max_lost_percent: int = MA
     last_word = np.searchsorted(word.start, line_end)
     line_words = last_word - first_word
     filled = line_words > 0
-    keys = hasher(line_start, line_end) ^ own[text_of_line]
     dup = np.zeros(n_line, bool)
-    dup[filled] = _seen_before(keys[filled])[0]
+    dup[filled] = _seen_before(tb.numbered(hasher, line_start[filled], line_end[filled], text_of_line[filled]))
     n_dup_lines = np.bincount(text_of_line[dup], minlength=n_texts)
 
     # Words inside windows that the same text has twice.
-    grams = tb.windows(hasher(word.start, word.end), WINDOW)
-    inside = np.flatnonzero(text_of_word[: len(grams)] == text_of_word[WINDOW - 1 :]) if len(grams) else np.zeros(0, np.int64)
-    starts = inside[_seen_before(grams[inside] ^ own[text_of_word[inside]])[1]]
-    cover = np.zeros(len(text_of_word) + 1, np.int64)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + WINDOW, -1)
+    inside = np.flatnonzero(text_of_word[: max(len(text_of_word) - WINDOW + 1, 0)] == text_of_word[WINDOW - 1 :])
+    starts = inside[_found_twice(tb.numbered(hasher, word.start, word.end), inside, text_of_word[inside])] if len(inside) else inside
+    cover = np.bincount(starts, minlength=len(text_of_word) + 1) - np.bincount(starts + WINDOW, minlength=len(text_of_word) + 1)
     n_repeat = np.bincount(text_of_word[np.cumsum(cover[:-1]) > 0], minlength=n_texts)
+    del inside, starts, cover
 
     # The rules.
-    pair = np.stack([line_start, line_end], 1)
-
-    def in_line(flag: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(flag, out=total[1:])
-        return total[pair[:, 1]] - total[pair[:, 0]]
-
-    separators, symbols, shouts = in_line(_SEPARATOR[data]), in_line(_SYMBOL[data]), in_line(data == 33)
+    separators, symbols, shouts = (tb.within(x, line_start, line_end) for x in (np.flatnonzero(_SEPARATOR[data]), symbol, np.flatnonzero(data == 33)))
     closed = np.zeros(n_line, bool)
     closed[filled] = _CLOSING[data[word.end[last_word[filled] - 1] - 1]]
     bad = (separators >= 2) & (100 * separators >= 30 * line_words)
@@ -141,4 +153,4 @@ def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, with_
                 got = measure(part.column("text"), with_text, max_lost_percent)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[x]) for x in names[1:])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -14,8 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULT, -1, 1 << 64)
 
 #: Bytes that part words: space and the five ASCII controls from tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -30,18 +28,6 @@ LOWER[65:91] += 32
 #: Rows go through in slices of about so many bytes, so that memory doesn't follow the batch.
 SLICE_BYTES = 1 << 21
 
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for i, base in enumerate((_MULT, _INVERSE)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose output bits all depend on all input bits."""
@@ -100,17 +86,92 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Spans:
     return Spans(data, offsets, ~SPACE[data])
 
 
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all runs, one run after the other."""
+    total = np.cumsum(size)
+    return np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)
+
+
+#: Keeps the first 0 to 8 bytes of a block of eight.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_TURN = U64(0x9E3779B97F4A7C15)
+#: Blocks that are looked at together, so that memory doesn't follow the spans.
+_BLOCKS = 1 << 18
+
+
 class Hasher:
-    """64-bit hashes of any spans of a byte buffer, from one pass of prefix sums."""
+    """64-bit hashes of any spans of a byte buffer, and exact comparisons of spans.
+
+    A span is read in blocks of eight bytes; its hash is the sum of a scrambled value of each
+    block and its number. Different ``key``s give hashes that have nothing to do with each other.
+    """
+
+    def __init__(self, data: np.ndarray, key: int = 1):
+        self.raw = np.zeros(len(data) + 8, np.uint8)
+        self.raw[: len(data)] = data
+        # Eight bytes from every position on.
+        self._from = np.ndarray((len(data) + 1,), "<u8", self.raw.data, 0, (1,))
+        self._key = mix(np.array([key], U64) * _TURN)[0]
 
-    def __init__(self, data: np.ndarray):
-        up, self._down = _power_tables(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=self._sums[1:])
+    def blocks(self, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The block at each start, of which ``left`` bytes count."""
+        return self._from[start] & _KEEP[np.minimum(left, 8)]
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        polynomial = (self._sums[end] - self._sums[start]) * self._down[start]
-        return mix(polynomial ^ ((end - start).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        size = end - start
+        total = mix(mix(self.blocks(start, size) ^ self._key) + _TURN)
+        for which, number, at, left in _further(start, size):
+            one = mix(mix(self.blocks(at, left) ^ self._key) + _TURN * (number + 1).astype(U64))
+            np.add.at(total, which, one)
+        return mix(total ^ (size.astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+    def same(self, start: np.ndarray, end: np.ndarray, other: Hasher, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+        """Whether spans have the same bytes, pair by pair."""
+        size = end - start
+        good = size == other_end - other_start
+        size = np.where(good, size, 0)
+        good &= self.blocks(start, size) == other.blocks(other_start, size)
+        for which, number, at, left in _further(start, size):
+            unlike = self.blocks(at, left) != other.blocks(other_start[which] + 8 * number, left)
+            good[which[unlike]] = False
+        return good
+
+
+def _further(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks after each span's first one, some at a time: span, number of the block, its place, the bytes left there."""
+    long = np.flatnonzero(size > 8)
+    count = (size[long] - 1) >> 3
+    ends = np.cumsum(count)
+    for first in range(0, int(ends[-1]) if len(ends) else 0, _BLOCKS):
+        turn = np.arange(first, min(first + _BLOCKS, int(ends[-1])))
+        k = np.searchsorted(ends, turn, "right")
+        which, number = long[k], turn - (ends[k] - count[k]) + 1
+        yield which, number, start[which] + 8 * number, size[which] - 8 * number
+
+
+def numbered(hasher: Hasher, start: np.ndarray, end: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """A number for each span that it shares with the spans of the same bytes, and of the same group, only."""
+    keys = hasher(start, end)
+    if group is not None:
+        keys = keys ^ mix((group.astype(U64) + U64(1)) * _TURN)
+    order = np.argsort(keys)
+    ranked = keys[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(head) - 1
+    first = order[head][number]
+    good = hasher.same(start, end, hasher, start[first], end[first])
+    if group is not None:
+        good &= group == group[first]
+    odd = np.flatnonzero(~good)
+    if len(odd):
+        # Equal hashes of different spans: these are told apart by what they are.
+        own: dict[tuple, int] = {}
+        for k in odd.tolist():
+            name = (hasher.raw[start[k] : end[k]].tobytes(), None if group is None else int(group[k]))
+            number[k] = own.setdefault(name, len(keys) + len(own))
+    return number
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -124,6 +185,11 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def within(places: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of the sorted places lie in each range."""
+    return np.searchsorted(places, end) - np.searchsorted(places, start)
+
+
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive positions."""
     total = np.zeros(len(values) + 1, np.int64 if values.dtype != np.float64 else np.float64)

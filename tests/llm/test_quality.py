@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +35,28 @@ def test_counts_are_those_of_brute_force(texts):
         assert tuple(int(got[x][k]) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(text)
 
 
+def test_words_and_lines_are_told_apart_by_their_bytes():
+    """Thue-Morse words and their mirrors, which polynomial hashes modulo a power of two take for equal."""
+    for n in (1024, 2048, 4096):
+        one = "".join("ab"[k.bit_count() % 2] for k in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        texts = [f"{one}\n{two}", f"{one}\n{two}\n{one}", " ".join([*"cdefghi", one, *"cdefghi", two]), " ".join([one, *"cdefghi", one, *"cdefghi"])]
+        got = quality.measure(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert (int(got["n_dup_lines"][k]), int(got["n_repeat_words"][k])) == brute(text)[3:]
+
+
+def test_hashes_that_collide_change_nothing(monkeypatch):
+    real, windows = quality.tb.Hasher.__call__, quality.tb.windows
+    monkeypatch.setattr(quality.tb.Hasher, "__call__", lambda self, start, end: real(self, start, end) & np.uint64(3))
+    monkeypatch.setattr(quality.tb, "windows", lambda hashes, width: windows(hashes, width) & np.uint64(3))
+    rng = random.Random(1)
+    texts = [rng.choice(" \n").join(rng.choices(["a", "b", "cc", "longer-than-eight", "longer-than-eighT", "x\ny"], k=60)) for _ in range(20)]
+    got = quality.measure(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert tuple(int(got[x][k]) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(text)
+
+
 def test_lines_are_judged_first():
     good = "This line is plain prose and stays in the text as it is, with quite a few words in it."
     other = "Here another sentence of entirely different wording follows so that nothing is said a second time."
