@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,75 @@ def test_pieces_are_those_of_the_library(encoder):
         assert data.tobytes().decode() == (text or "").replace("▁", " ")
 
 
+def thue_morse(n: int, letters: str = "ab") -> str:
+    """Letters in an order that polynomial hashes modulo a power of two can't tell from its mirror."""
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+def test_cuts_are_told_apart_by_their_bytes(encoder):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    texts = [f(n) for n in (1024, 2048, 4096) for f in (thue_morse, lambda n: thue_morse(n, "ba"))]
+    ids, at, exact = encoder.encode(pa.array([" ".join(texts), *texts]))
+    assert exact.all()
+    for k, text in enumerate([" ".join(texts), *texts]):
+        assert ids[at[k] : at[k + 1]].tolist() == model.encode(text)
+
+
+def test_hashes_that_collide_change_nothing(encoder, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    own = pieces.Encoder(encoder.v)
+    real = pieces.tb.Hasher.__call__
+    monkeypatch.setattr(pieces.tb.Hasher, "__call__", lambda self, start, end: real(self, start, end) & np.uint64(7))
+    texts = ["the cat sat on the mat", "a dog and a cat", "words and more words in a row", "", None, "the dog"]
+    for _ in range(2):
+        ids, at, exact = own.encode(pa.array(texts))
+        assert exact.all() and [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [model.encode(t or "") for t in texts]
+
+
+@pytest.mark.parametrize("run", [1 << 12, 1 << 18])
+def test_long_texts_without_spaces(encoder, monkeypatch, run):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    monkeypatch.setattr(pieces, "RUN", run)
+    rng = random.Random(5)
+    texts = ["a" * 20_000, thue_morse(20_000), "".join(rng.choices("etaoinshr", k=20_000)), "".join(rng.choices("etaoé世🙂x", k=20_000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(9000)), "".join(rng.choices("ABCdefgh0123+/", k=20_000))]
+    ids, at, exact = pieces.Encoder(encoder.v).encode(pa.array(texts))
+    assert exact.all() and [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [model.encode(t) for t in texts]
+
+
+def test_twice_the_text_takes_about_twice_the_time(encoder):
+    rng = random.Random(6)
+
+    def seconds(text: str) -> float:
+        best = 1e9
+        for _ in range(3):
+            own = pieces.Encoder.__new__(pieces.Encoder)
+            own.__dict__.update(encoder.__dict__)
+            own._forget()
+            began = time.process_time()
+            own.encode(pa.array([text]))
+            best = min(best, time.process_time() - began)
+        return best
+
+    for text in ("".join(rng.choices("ABCdefgh0123+/xyz", k=200_000)), "a" * 200_000, "".join(rng.choices("etaoinshr", k=200_000))):
+        one, two = seconds(text), seconds(text + text[::-1])
+        assert two < 2.5 * one + 0.2 and one < 2.0
+
+
+def test_remembered_cuts_stay_in_their_budget(encoder, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 4000)
+    own = pieces.Encoder(encoder.v)
+    for k in range(20):
+        texts = [" ".join(f"w{k}x{j}" for j in range(40)), "x" * 3000]
+        ids, at, exact = own.encode(pa.array(texts))
+        assert exact.all() and len(own.keys_known) < 400 and own.cut_at[-1] == len(own.cut_bytes)
+
+
 def test_decoding_tables(spark):
     vocabulary = pieces.Vocabulary.load(PIECE_MODEL)
     docs = spark.createDataFrame([(1, "Hello  wörld\n"), (2, None)], "doc_id long, text string")
