@@ -9,10 +9,12 @@ possessive, and a search doesn't begin inside a run in which it has begun alread
 find what the plain patterns find. The groups of an ``iban`` can't be told from short upper-case
 words or numbers after it, so its pattern only finds where one may begin and how far one may
 reach; of the ends at a space or at the reach, the last one whose checksum holds is taken.
+Spans, contexts and gaps are cut out by their bytes, so the rest takes time in proportion to
+the number of matches.
 
 Cases: a null text counts as empty and has no spans. Repeated rows give repeated results,
-empty tables none. Offsets are code points, ends exclusive. Only the columns named are read;
-``redact`` keeps all others as they are.
+empty tables none. Offsets are code points, ends exclusive. Only the columns named are read,
+so others may have any names; ``redact`` keeps all others as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import listed, places
+from .spans import SPAN, let, listed, piece, places, running
 
 
 @dataclass(frozen=True)
@@ -36,16 +38,18 @@ class Kind:
     base: bool = True
     #: The group of the pattern that the rule looks at.
     group: int = 0
+    #: What every match has, to pass over most texts quickly.
+    needs: str = ""
 
 
 #: The base kinds in their order, then the added ones.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.7, ("mail", "contact", "write to"), ("noreply",)),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.7, ("mail", "contact", "write to"), ("noreply",), needs="@"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", 0.5, ("ip", "host", "server", "address"), ("version", "section")),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", 0.4, ("card", "credit", "visa", "payment"), ("serial", "tracking")),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, ("phone", "call", "tel", "mobile", "fax"), ("score", "total")),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.5, ("phone", "call", "tel", "mobile", "fax"), ("score", "total"), needs="+"),
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))[A-Z]{2}[0-9]{2}", 0.4, ("iban", "bank", "account", "transfer"), base=False, group=1),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, ("ssn", "social security", "taxpayer"), base=False),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, ("ssn", "social security", "taxpayer"), base=False, needs="-"),
 )
 CONTEXT, CONFIRMED = 0.2, 0.3
 #: An added span needs this score; a checksum that holds is enough, or a word nearby where there is none.
@@ -92,6 +96,10 @@ def _valid(kind: str, hit: Column) -> Column | None:
     return None
 
 
+#: Code points that an ``iban`` may reach, and places where others may begin within it: each begins with four.
+_IBAN_REACH = 48
+
+
 def _ibans(spans: Column) -> Column:
     """Of each reach (``part``) the longest number that the checksum confirms; none that lies inside an earlier one."""
 
@@ -103,22 +111,24 @@ def _ibans(spans: Column) -> Column:
             return (F.length(number) >= 12) & mod97(number)
 
         k = F.try_element_at(F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), valid), F.lit(1))
-        return F.struct(s["start"].alias("start"), (s["start"] + F.length(F.array_join(F.slice(groups, F.lit(1), k), " "))).alias("end"))
+        size = F.length(F.array_join(F.slice(groups, F.lit(1), k), " "))
+        return F.struct(s["start"].alias("start"), (s["start"] + size).alias("end"), s["from"].alias("from"), (s["from"] + size).alias("to"))
 
-    def step(done: Column, s: Column) -> Column:
-        further = F.struct(s["end"].alias("at"), F.concat(done["out"], F.array(s)).alias("out"))
-        return F.when(s["end"] > done["at"], further).otherwise(done)
+    def outermost(found: Column) -> Column:
+        before = _IBAN_REACH // 4
+        return F.filter(found, lambda s, i: ~F.exists(F.slice(found, F.greatest(i + 1 - before, F.lit(1)), F.least(i, F.lit(before))), lambda x: x["end"] >= s["end"]))
 
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return F.aggregate(F.transform(spans, longest), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda done: done["out"])
+    return let(F.filter(F.transform(spans, longest), lambda s: s["end"].isNotNull()), outermost)
 
 
-def _score(text: Column, kind: Kind, span: Column) -> Column:
-    first = F.greatest(span["start"] - BEFORE, F.lit(0))
-    around = F.lower(F.concat(F.substring(text, first + 1, span["start"] - first), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(AFTER))))
+def _score(raw: Column, kind: Kind, span: Column) -> Column:
+    # A code point has four bytes at most.
+    first = F.greatest(span["from"] - 4 * BEFORE, F.lit(0))
+    before, after = piece(raw, first, span["from"] - first), piece(raw, span["to"], F.lit(4 * AFTER))
+    around = F.lower(F.concat(F.right(before, F.lit(BEFORE)), F.lit(" "), F.left(after, F.lit(AFTER))))
 
     def any_of(words: tuple[str, ...]) -> Column:
-        return around.rlike(r"\b(?:" + "|".join(words) + r")s?\b") if words else F.lit(False)
+        return around.rlike(r"(?<![a-z0-9_])(?:" + "|".join(words) + r")s?(?![a-z0-9_])") if words else F.lit(False)
 
     checked = kind.name not in ("email", "ssn")
     return F.lit(kind.prior + CONFIRMED * checked) + F.when(any_of(kind.near), CONTEXT).otherwise(0.0) - F.when(any_of(kind.against), CONTEXT).otherwise(0.0)
@@ -127,27 +137,38 @@ def _score(text: Column, kind: Kind, span: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
     """``docs`` with a column ``pii_<kind>`` for each kind: its spans in order, with scores."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({prefix + k.name: places(body, k.pattern, k.group) for k in KINDS})
+    found = docs.withColumns({prefix + k.name: _possible(body, k) for k in KINDS})
     return found.withColumns({prefix + k.name: _checked(body, k, F.col(prefix + k.name)) for k in KINDS})
 
 
+def _possible(body: Column, kind: Kind) -> Column:
+    """Places of the kind's pattern; texts without a character that it needs aren't searched."""
+    spans = places(body, kind.pattern, kind.group)
+    return F.when(body.contains(kind.needs), spans).otherwise(F.array().cast(SPAN)) if kind.needs else spans
+
+
 def _checked(body: Column, kind: Kind, spans: Column) -> Column:
     """The spans that pass the kind's rule, with scores; added ones only with the score they need."""
     if kind.name == "iban":
         spans = _ibans(spans)
     elif kind.name not in ("email", "ssn"):
         spans = F.filter(spans, lambda s: _valid(kind.name, s["hit"]))
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.round(_score(body, kind, s), 3).alias("score")))
-    return spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST)
 
+    def scored(raw: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["from"].alias("from"), s["to"].alias("to"), F.round(_score(raw, kind, s), 3).alias("score")))
 
-def _named(spans: Column, name: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(name).alias("kind")))
+    none = F.array().cast("array<struct<start:int,end:int,from:int,to:int,score:double>>")
+    told = F.when(F.size(spans) == 0, none).otherwise(let(body.cast("binary"), scored))
+    return told if kind.base else F.filter(told, lambda s: s["score"] >= LEAST)
+
+
+def _marked(spans: Column, mark: str) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.lit(mark).alias("kind")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Counts and spans of each row of ``docs`` by its ``doc_id``."""
-    found = with_spans(docs.select("doc_id", "text"))
+    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     base = F.concat(*(listed(F.col("pii_" + k.name), k.name) for k in KINDS if k.base))
     every = F.concat(*(listed(F.col("pii_" + k.name), k.name) for k in KINDS))
     best = F.array_max(F.concat(F.array(F.lit(0.0)), *(F.transform("pii_" + k.name, lambda s: s["score"]) for k in KINDS)))
@@ -161,19 +182,25 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text stays null. All columns stay; ``n_chars``, where there is one, follows the text.
     """
     mark = "__pii_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = "_" + mark
     found = with_spans(docs, text, mark)
-    spans = F.array_sort(F.concat(*(_named(F.col(mark + k.name), f"[{k.name.upper()}]") for k in KINDS)))
+    spans = F.array_sort(F.concat(*(_marked(F.col(mark + k.name), f"[{k.name.upper()}]") for k in KINDS)))
+
+    def joined(raw: Column) -> Column:
+        def cut(s: Column) -> Column:
+            # Where the spans before reach to; a span that begins before that is part of them.
+            reached = running(s, F.lit(0), lambda at, x: F.greatest(at, x["to"]), F.greatest, "int")
+            parts = F.zip_with(s, reached, lambda x, at: F.when(x["from"] >= at, F.concat(piece(raw, at, x["from"] - at), x["kind"])).otherwise(""))
+            last = F.array_max(F.transform(s, lambda x: x["to"]))
+            return F.array_join(F.concat(parts, F.array(piece(raw, last, F.octet_length(F.col(text))))), "")
 
-    def step(done: Column, s: Column) -> Column:
-        clear = s["start"] >= done["at"]
-        out = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, s["start"] - done["at"]), s["kind"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(clear, out).otherwise(done["out"]).alias("out"))
+        return let(spans, cut)
 
-    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text))))
     none = F.lit(True)
     for k in KINDS:
         none = none & (F.size(mark + k.name) == 0)
-    new = F.when(F.col(text).isNull() | none, F.col(text)).otherwise(cut)
+    new = F.when(F.col(text).isNull() | none, F.col(text)).otherwise(let(F.col(text).cast("binary"), joined))
     out = found.withColumn(text, new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))

@@ -49,7 +49,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(_table(spark, sf_dir, "documents")).drop("max_score")
+    return pii.digest(_table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,55 @@
-"""Places of regular-expression matches as Spark expressions, in code points.
+"""Places of regular-expression matches as Spark expressions, in code points and in bytes.
 
 Spark has no function that gives the places of all matches. The text between the matches
 (``split``) and the matches themselves (``regexp_extract_all``) come from the same search,
-so their lengths, added up in turn, give every start and end.
+so their lengths, added up in turn, give every start and end. Bytes are counted as well:
+a part of a text is cut out by its bytes in time that doesn't depend on where it stands.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,hit:string,part:string>>"
+#: Offsets in code points (start, end) and in bytes (from, to), the match and one of its groups.
+SPAN = "array<struct<start:int,end:int,from:int,to:int,hit:string,part:string>>"
+#: Elements that are folded together; an array that a fold makes grows by copying, so none gets longer.
+BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once and held, not once for each element that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Of each element, what ``step`` has made of all elements before it, in time in proportion to their number.
+
+    Elements are folded block by block; ``merge`` joins a block's result to those of the blocks before.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def grown(s: Column, to: Column) -> Column:
+        return F.struct(to.alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+
+    start = F.struct(zero.cast(kind).alias("at"), none.alias("out"))
+
+    def folded(block: Column) -> Column:
+        return F.aggregate(block, start, lambda s, x: grown(s, step(s["at"], x).cast(kind)))
+
+    def whole(held: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))
+        parts = F.transform(numbers, lambda b: folded(F.slice(held, b * BLOCK + 1, F.lit(BLOCK))))
+
+        def joined(p: Column) -> Column:
+            before = F.aggregate(p, start, lambda s, x: grown(s, merge(s["at"], x["at"]).cast(kind)))["out"]
+            return F.flatten(F.zip_with(p, before, lambda x, b: F.transform(x["out"], lambda y: merge(b, y).cast(kind))))
+
+        return F.when(F.size(held) <= BLOCK, folded(held)["out"]).otherwise(let(parts, joined))
+
+    return let(values, whole)
 
 
 def places(text: Column, pattern: str, group: int = 0) -> Column:
@@ -18,19 +57,38 @@ def places(text: Column, pattern: str, group: int = 0) -> Column:
 
     Texts without a match cost one search. A null text has none.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    pairs = F.zip_with(gaps, F.zip_with(hits, parts, lambda h, p: F.struct(h.alias("h"), p.alias("p"))), lambda g, x: F.struct(g.alias("gap"), x["h"].alias("hit"), x["p"].alias("part")))
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
+
+    def sized(gap: Column, hit: Column, part: Column) -> Column:
+        return F.struct(F.length(gap).alias("c"), F.octet_length(gap).alias("b"), hit.alias("hit"), part.alias("part"))
+
+    gaps = F.split(text, pattern, -1)
+    if parts is None:
+        pairs = F.zip_with(gaps, hits, lambda g, h: sized(g, h, h))
+    else:
+        pairs = F.zip_with(gaps, F.arrays_zip(hits.alias("h"), parts.alias("p")), lambda g, x: sized(g, x["h"], x["p"]))
+    # What stands after the last match is no pair.
+    pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
+
+    def added(a: Column, c: Column, b: Column) -> Column:
+        return F.struct((a["c"] + c).alias("c"), (a["b"] + b).alias("b"))
+
+    def found(held: Column) -> Column:
+        before = running(held, F.struct(F.lit(0).alias("c"), F.lit(0).alias("b")), lambda a, x: added(a, x["c"] + F.length(x["hit"]), x["b"] + F.octet_length(x["hit"])), lambda a, x: added(a, x["c"], x["b"]), "struct<c:int,b:int>")
+
+        def span(x: Column, at: Column) -> Column:
+            start, first = at["c"] + x["c"], at["b"] + x["b"]
+            return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), first.alias("from"), (first + F.octet_length(x["hit"])).alias("to"), x["hit"].alias("hit"), x["part"].alias("part"))
+
+        return F.zip_with(held, before, span)
+
+    return F.when(text.rlike(pattern), let(pairs, found)).otherwise(F.array().cast(SPAN))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        found = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part")))
-        return F.when(x["hit"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], found).alias("out")))
 
-    empty = F.array().cast(SPAN)
-    return F.when(text.rlike(pattern), F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda done: done["out"])).otherwise(empty)
+def piece(raw: Column, first: Column, size: Column) -> Column:
+    """The text of so many bytes from a byte on; ``raw`` is binary."""
+    return F.substring(raw, first + 1, size).cast("string")
 
 
 def listed(spans: Column, kind: str) -> Column:

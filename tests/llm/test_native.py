@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -92,16 +93,65 @@ def test_base_spans_of_secrets(spark):
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(base_secrets(text or "")).encode()).hexdigest(), text
 
 
-def test_the_ledger_is_scanned_once(spark):
-    first = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "token=abcdefgh1"), (3, "nothing")], "doc_id long, text string")
-    ledger = secrets.scan_new(first)
-    assert ledger.count() == 2
-    more = spark.createDataFrame([(4, "token=abcdefgh1"), (5, "secret: 12345678")], "doc_id long, text string")
-    new = secrets.scan_new(more, ledger)
-    assert [len(r["findings"]) for r in new.collect()] == [1]
-    assert secrets.scan_new(more, ledger.unionByName(new)).count() == 0
-    assert secrets.scan_new(more, ledger, secrets.RULES[:1]).count() == 2
-    assert {r["doc_id"]: r["n_assign"] for r in secrets.digest(more, ledger).collect()} == {4: 1, 5: 1}
+def test_the_ledger_is_scanned_once(spark, tmp_path):
+    schema = "path string, version long, text string"
+    first = spark.createDataFrame([("a", 1, "token=abcdefgh1"), ("b", 1, "token=abcdefgh1"), ("c", 1, "nothing"), ("d", 1, None)], schema)
+    ledger = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    assert ledger.scan(first).count() == 3
+    # The same table again scans nothing, also for one who opens the folder anew.
+    assert secrets.Ledger(spark, f"{tmp_path}/ledger").scan(first).count() == 0
+    more = spark.createDataFrame([("a", 2, "secret: 12345678"), ("b", 2, "token=abcdefgh1"), ("c", 2, "")], schema)
+    assert [len(r["findings"]) for r in ledger.scan(more).collect()] == [1]
+    found = {(r["path"], r["version"]): len(r["findings"]) for r in ledger.findings().collect()}
+    assert found == {("a", 1): 1, ("b", 1): 1, ("c", 1): 0, ("d", 1): 0, ("a", 2): 1, ("b", 2): 1, ("c", 2): 0}
+    # Other rules are another version: every blob is new to them once.
+    assert ledger.scan(more, secrets.RULES[:1]).count() == 3 and ledger.scan(more, secrets.RULES[:1]).count() == 0
+    assert {len(r["findings"]) for r in ledger.findings(secrets.RULES[:1]).where("path = 'd'").collect()} == {0}
+    # A batch that was not written whole doesn't count.
+    before = ledger.scanned().count()
+    (tmp_path / "ledger" / "scanned" / "lost").mkdir()
+    assert ledger.scanned().count() == before
+
+
+def test_secrets_by_a_ledger_of_two_versions(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    docs = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "nothing"), (2, "nothing"), (None, "token=abcdefgh1")], "doc_id int, text string")
+    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in secrets.digest(docs, ledger).collect()) == [(0, 1), (1, 1), (2, 0), (2, 0)]
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.digest(spark.createDataFrame([(1, "nothing"), (3, "token=abcdefgh1 secret: 12345678")], "doc_id long, text string"), ledger).collect()} == {1: 0, 3: 2}
+    assert ledger.scanned().count() == 3 and ledger.paths().count() == 6
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    """20,000 matches in one text, and twice as many."""
+
+    def seconds(run, text: str) -> float:
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        run(docs).collect()
+        began = time.time()
+        run(docs).collect()
+        return time.time() - began
+
+    for run, each in ((pii.digest, "é a{k}@b.co"), (pii.redact, "é a{k}@b.co"), (lambda d: d.select(secrets.find(F.col("text"))), "é token=abcdefgh{k}")):
+        texts_ = [" ".join(each.format(k=k) for k in range(n)) for n in (20_000, 40_000)]
+        one, two = (seconds(run, t) for t in texts_)
+        assert one < 5 and two < 2.5 * one + 0.5
+
+
+def test_blocks_of_matches_join(spark):
+    """More matches than a block holds, with contexts, overlaps and gaps that reach over its borders."""
+    rng = random.Random(9)
+    parts = ["a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 361 555 8283", " é ", "🙂", " x ", "DE89 3704 0044 0532 0130 00", "ssn 123-45-6789", " call "]
+    text = " ".join(rng.choice(parts) for _ in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.digest(docs).first()
+    assert row["base_sha256"] == hashlib.sha256(",".join(base_pii(text)).encode()).hexdigest()
+    spans = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in row["spans"].split(",")))
+    out, at = [], 0
+    for s, e, k in spans:
+        if s >= at:
+            out += [text[at:s], f"[{k.upper()}]"]
+        at = max(at, e)
+    assert pii.redact(docs).first()["text"] == "".join(out) + text[at:]
 
 
 def inverse(u: float, mean: float) -> int:
