@@ -1,26 +1,34 @@
 """Secret scans with a ledger of blobs: every version of a file is known by its content.
 
-A version's text is addressed by its SHA-256. The ledger holds the pairs of blob and rule
-version that have been scanned, with their findings; a scan takes only the pairs that
-aren't there yet, once for each blob however many paths hold it, and its findings are
-joined back to all paths. DataFrame functions only.
+A version's text is addressed by its SHA-256. A ``Ledger`` is a folder with two tables: the
+pairs of blob and rule version that have been scanned, with their findings, and the paths
+with the blob that each version of them had. A scan takes only the pairs that aren't there
+yet, once for each blob however many paths hold it, adds them to the folder, and joins the
+findings back to all paths, new and old. DataFrame functions only.
+
+Every scan adds a batch of its own; a batch counts once it is written whole, so a scan that
+is lost halfway is as if it hadn't been. A batch that is written twice, or by two scans at
+the same time, changes nothing: rows of the ledger are read once each.
 
 The three base kinds follow fixed patterns and rules; ``pem`` and ``jwt`` are added.
 
 Cases: a null text counts as the empty blob, which has no findings. Repeated rows give
-repeated results, empty tables none. Offsets are code points, ends exclusive. Only the id
-and text columns are read.
+repeated results, empty tables none; versions of a path that tie are all kept. Offsets are
+code points, ends exclusive. Only the id and text columns are read, so others may have any
+names; the text may be of any length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spans import SPAN, places
+from .storage import Workspace
 
 
 @dataclass(frozen=True)
@@ -51,6 +59,7 @@ def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
 
 FINDINGS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 LEDGER = f"blob binary, rules string, findings {FINDINGS}"
+PATHS = "path string, version long, blob binary"
 
 
 def address(text: Column) -> Column:
@@ -83,17 +92,66 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return blobs.dropDuplicates(["blob"]).select("blob", F.lit(rule_version(rules)).alias("rules"), find(F.col("text"), rules).alias("findings"))
 
 
-def findings_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id, findings`` of each row of ``docs``. Only blobs with findings are joined; the others have none."""
+class Ledger:
+    """A ledger in a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _batches(self, table: str) -> list[str]:
+        """The batches of a table that are written whole."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/*/_SUCCESS")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(f.getPath().getParent().toString() for f in files or [])
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        batches = self._batches(table)
+        return self.spark.read.schema(schema).parquet(*batches) if batches else self.spark.createDataFrame([], schema)
+
+    def _add(self, table: str, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.folder}/{table}/{uuid.uuid4().hex}")
+
+    def scanned(self) -> DataFrame:
+        """``blob, rules, findings`` of every pair that has been scanned."""
+        rows = self._read("scanned", LEDGER)
+        # Only scans side by side can have added a pair twice.
+        return rows.dropDuplicates(["blob", "rules"]) if len(self._batches("scanned")) > 1 else rows
+
+    def paths(self) -> DataFrame:
+        """``path, version, blob`` of every version that has been seen."""
+        return self._read("paths", PATHS)
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scans what is new in ``versions`` (path, version, text) and returns the rows that were added to the ledger."""
+        blobs = versions.select(F.col("path").cast("string"), F.col("version").cast("long"), address(F.col("text")).alias("blob"))
+        before = self.scanned() if self._batches("scanned") else None
+        known = set(self._batches("scanned"))
+        self._add("scanned", scan_new(versions, before, rules))
+        self._add("paths", blobs)
+        new = [b for b in self._batches("scanned") if b not in known]
+        return self.spark.read.schema(LEDGER).parquet(*new)
+
+    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """``path, version, blob, findings`` of every version seen, whenever its blob was scanned."""
+        return joined_back(self.paths(), self.scanned(), rules)
+
+
+def joined_back(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``paths`` with ``findings`` of their blobs. Only blobs with findings are joined; the others have none.
+
+    Both sides are read from tables, so a blob with very many paths is a skewed partition that
+    Spark splits when it runs.
+    """
     hits = ledger.where((F.col("rules") == rule_version(rules)) & (F.size("findings") > 0)).select("blob", "findings")
-    paths = docs.select("doc_id", address(F.col("text")).alias("blob"))
-    return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return paths.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
 
 
-def digest(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts and spans of each row of ``docs``, after scanning what the ledger doesn't have."""
-    new = scan_new(docs, ledger, rules)
-    found = findings_by_path(docs, new if ledger is None else ledger.unionByName(new), rules)
+def digest(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Counts and spans of each row of ``docs``, after scanning what the ledger doesn't have; without one, a new one is made."""
+    ledger = ledger or Ledger(docs.sparkSession, Workspace(docs.sparkSession).path)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ledger.scan(own.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"), rules)
+    found = joined_back(own.select("doc_id", address(F.col("text")).alias("blob")), ledger.scanned(), rules)
 
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in tests on one machine, a folder of our own."""
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own if Spark runs in this process, else an error."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
         folder = _own.setdefault("folder", tempfile.mkdtemp(prefix="loomwright-"))
     return folder.rstrip("/")
 
