@@ -9,12 +9,16 @@ likely than not, joined where they are neighbours, are its offending spans.
 Labels are of documents. Words of a toxic document are labelled toxic where one of their
 features occurs in toxic documents far more often than in others; the field is trained on
 these labelled words, and a logistic model of the marginals' sums is fitted to the
-documents' labels. Training takes a bounded sample of labelled rows that aren't held out.
+documents' labels. Training takes a bounded sample of labelled rows that aren't held out;
+toxic ones get a quarter of it at least, as far as there are so many, and the documents'
+model is corrected for that.
 
 Cases: a null text, or one without a letter, has no words and gets the score of such texts.
-Labels that are null or missing aren't used; if no toxic row is among the labelled, every
-score is near 0. Empty tables give empty results. Only the columns named are read, and
-scores see only the text.
+Labels that are null or missing aren't used; an id with several labels is toxic if one of
+them is; of an id with several texts the smallest one is learned from. If no toxic row is
+among the labelled, every score is near 0. Repeated rows give repeated results, empty tables
+none. Only the columns named are read, so others may have any names, and scores see only the
+text. Very long texts are scored whole; their chains go in segments.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ PREFIXES = (4, 5, 6, 7, 8, 9)
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 20_000
 #: A feature marks words as toxic if so many toxic documents have it, and so many times as often as others.
-LEAST_DOCS, LEAST_RATIO = 5, 12.0
+LEAST_DOCS, LEAST_RATIO = 5, 24.0
 #: From this score on a document counts as toxic.
 TOXIC = 0.7
 
@@ -104,28 +108,90 @@ class Field:
         return total
 
 
+#: Words of a chain that go one after the other; longer chains are cut into such segments, which go side by side.
+SEGMENT = 512
+
+
+def _segments(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the segments of all chains begin (one more entry at the end), which are a chain's first and which its last."""
+    size = np.diff(at)
+    count = -(-size // SEGMENT)
+    first = np.cumsum(count) - count
+    inner = np.arange(int(count.sum())) - np.repeat(first, count)
+    begin = np.repeat(at[:-1], count) + inner * SEGMENT
+    return np.append(begin, at[-1]), inner == 0, inner == np.repeat(count, count) - 1
+
+
+def _products(odds: np.ndarray, at: np.ndarray, which: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Of these segments, the product of the steps' matrices (transition, then the word's odds), up to a factor."""
+    start, size = at[which], at[which + 1] - at[which]
+    m = np.zeros((2, 2, len(which)))
+    m[0, 0] = m[1, 1] = 1
+    order = np.argsort(-size, kind="stable")
+    start, ranked = start[order], -size[order]
+    for k, n in enumerate(np.searchsorted(ranked, -np.arange(int(size.max(initial=0))), "left")):
+        clean = m[:, 0, :n] * t[0, 0] + m[:, 1, :n] * t[1, 0]
+        toxic = (m[:, 0, :n] * t[0, 1] + m[:, 1, :n] * t[1, 1]) * odds[start[:n] + k]
+        total = (clean + toxic).sum(0)
+        m[:, 0, :n], m[:, 1, :n] = clean / total, toxic / total
+    out = np.empty_like(m)
+    out[:, :, order] = m
+    return out
+
+
 def forward_backward(emission: np.ndarray, at: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normalised forward and backward weights (two columns) of every word; all texts go step by step side by side."""
+    """Normalised forward and backward weights (two columns) of every word.
+
+    All chains go step by step side by side. A long one goes in segments: the product of a segment's
+    matrices carries the weights across it, so that every segment can begin with the right ones.
+    """
+    odds = np.exp(np.clip(emission, -25, 25)).astype(np.float64)
+    t, f = np.exp(moves), np.exp(first)
+    at, is_first, is_last = _segments(at)
+    n_segments = len(at) - 1
+    # What enters a segment from before and from behind; a chain's first word has weights of its own.
+    enter, leave = np.ones((2, n_segments)), np.ones((2, n_segments))
+    if not is_first.all():
+        many = np.flatnonzero(~(is_first & is_last))
+        product = _products(odds, at, many, t)
+        p = np.ones(2)
+        for k, s in enumerate(many.tolist()):
+            m = product[:, :, k]
+            if is_first[s]:
+                p = _start(odds, at[s], at[s + 1], t, f)
+            else:
+                enter[:, s] = p
+                p = p @ m
+                p = p / p.sum()
+        b = np.ones(2)
+        for k, s in reversed(list(enumerate(many.tolist()))):
+            if is_last[s]:
+                b = np.ones(2)
+            leave[:, s] = b
+            b = product[:, :, k] @ b
+            b = b / b.sum()
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")
     start, ranked = at[:-1][order], -size[order]
     longest = int(size.max(initial=0))
     active = np.searchsorted(ranked, -np.arange(longest), "left")
-    odds = np.exp(np.clip(emission, -25, 25)).astype(np.float64)
-    t, f = np.exp(moves), np.exp(first)
     ahead, back = np.ones((2, len(emission))), np.ones((2, len(emission)))
-    p0 = p1 = np.zeros(0)
+    p0, p1 = enter[0][order], enter[1][order]
+    opening = is_first[order]
     for k in range(longest):
         n = active[k]
         here = start[:n] + k
-        if k:
-            q0, q1 = p0[:n] * t[0, 0] + p1[:n] * t[1, 0], (p0[:n] * t[0, 1] + p1[:n] * t[1, 1]) * odds[here]
-        else:
-            q0, q1 = np.full(n, f[0]), f[1] * odds[here]
+        q0, q1 = p0[:n] * t[0, 0] + p1[:n] * t[1, 0], p0[:n] * t[0, 1] + p1[:n] * t[1, 1]
+        if k == 0:
+            q0, q1 = np.where(opening[:n], f[0], q0), np.where(opening[:n], f[1], q1)
+        q1 = q1 * odds[here]
         total = q0 + q1
         p0, p1 = q0 / total, q1 / total
         ahead[0, here], ahead[1, here] = p0, p1
-    b0, b1 = np.ones(len(size)), np.ones(len(size))
+    b0, b1 = leave[0][order], leave[1][order]
+    ends = start + size[order] - 1
+    filled = size[order] > 0
+    back[0, ends[filled]], back[1, ends[filled]] = b0[filled], b1[filled]
     for k in range(longest - 2, -1, -1):
         n = active[k + 1]
         after = start[:n] + k + 1
@@ -137,6 +203,17 @@ def forward_backward(emission: np.ndarray, at: np.ndarray, moves: np.ndarray, fi
     return ahead, back
 
 
+def _start(odds: np.ndarray, begin: int, end: int, t: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """The weights after a chain's first segment."""
+    p0, p1 = f[0], f[1] * odds[begin]
+    for x in odds[begin + 1 : end].tolist():
+        p0, p1 = p0 * t[0, 0] + p1 * t[1, 0], (p0 * t[0, 1] + p1 * t[1, 1]) * x
+        total = p0 + p1
+        p0, p1 = p0 / total, p1 / total
+    total = p0 + p1
+    return np.array([p0 / total, p1 / total])
+
+
 def marginals(field: Field, features: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Each word's probability of being toxic."""
     a, b = forward_backward(field.emissions(features), at, field.moves, field.first)
@@ -170,7 +247,7 @@ def label_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     return label & toxic[doc]
 
 
-def train(words: Words, toxic: np.ndarray, rounds: int = 10, batch: int = 400, rate: float = 0.8, ridge: float = 1e-4, seed: int = 3) -> Field:
+def train(words: Words, toxic: np.ndarray, rounds: int = 6, batch: int = 400, rate: float = 0.8, ridge: float = 1e-4, seed: int = 3) -> Field:
     """Fits the field to labelled words by adaptive gradient steps on their conditional likelihood, then the documents' model."""
     label = label_words(words, toxic)
     doc = np.repeat(np.arange(len(toxic)), np.diff(words.at))
@@ -209,7 +286,7 @@ def train(words: Words, toxic: np.ndarray, rounds: int = 10, batch: int = 400, r
             step = seen_pairs - joint.sum(2)
             seen_moves += step * step
             field.moves += rate * 0.3 * step / np.sqrt(seen_moves)
-    x = summed(marginals(field, words.features, words.at), words.at)
+    x = np.concatenate([summed(marginals(field, words.features[words.at[k] : words.at[m]], at := words.at[k : m + 1] - words.at[k]), at) for k in range(0, len(toxic), batch) for m in [min(k + batch, len(toxic))]] or [np.zeros((0, 4))])
     field.document = _logistic(x, toxic.astype(np.float64))
     return field
 
@@ -263,16 +340,38 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+def quotas(toxic: int, clean: int, rows: int) -> tuple[int, int]:
+    """How many toxic and how many clean rows are learned from: their shares, but a quarter of toxic ones if there are so many."""
+    if toxic + clean <= rows:
+        return toxic, clean
+    some = max(rows * toxic // (toxic + clean), min(toxic, rows // 4))
+    return some, min(clean, rows - some)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
-    """A model of a bounded sample of the labelled rows that aren't held out, chosen by hashes of their ids."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """A model of a bounded sample of the labelled rows that aren't held out, chosen by hashes of their ids.
+
+    Chosen rows whose texts are longer than ``SAMPLE_CHARS`` or that ``docs`` doesn't have are left out.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = counts.get(True, 0), counts.get(False, 0)
+    order = (F.xxhash64("doc_id", F.lit("toxicity")), "doc_id")
+    some = [known.where(F.col("toxic") == flag).orderBy(*order).limit(n) for flag, n in zip((True, False), quotas(n1, n0, rows))]
     # The sample is bounded by ``rows``, so every executor can have it.
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(rows)
-    got = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    chosen = F.broadcast(some[0].unionByName(some[1]).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS)
+    got = own.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow()
     got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
-    texts = got.column("text").combine_chunks()
+    texts, toxic = got.column("text").combine_chunks(), got.column("toxic").to_numpy()
     texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    return train(words_by_slices(texts), got.column("toxic").to_numpy() > 0)
+    words = words_by_slices(texts)
+    del got, texts
+    field = train(words, toxic)
+    s1, s0 = int(toxic.sum()), int((~toxic).sum())
+    if s1 and s0:
+        field.document[-1] += np.log(n1 / n0) - np.log(s1 / s0)
+    return field
 
 
 def score_documents(docs: DataFrame, field: Field, with_spans: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from itertools import product
 
@@ -67,6 +68,31 @@ def test_marginals_are_those_of_all_paths():
         assert np.allclose(p[s:e], toxic / total)
 
 
+def test_long_chains_go_in_segments(monkeypatch):
+    rng = np.random.default_rng(1)
+    at = np.concatenate([[0], np.cumsum([0, 1, 7, 8, 9, 40, 0, 23, 16])])
+    emission, moves, first = rng.normal(size=at[-1]) * 3, rng.normal(size=(2, 2)), rng.normal(size=2)
+    whole = toxicity.forward_backward(emission, at, moves, first)
+    for size in (1, 3, 8):
+        monkeypatch.setattr(toxicity, "SEGMENT", size)
+        assert np.allclose(toxicity.forward_backward(emission, at, moves, first), whole)
+
+
+def test_one_long_text_takes_time_in_proportion():
+    rng = np.random.default_rng(2)
+    moves, first = rng.normal(size=(2, 2)), rng.normal(size=2)
+
+    def seconds(n: int) -> float:
+        emission = rng.normal(size=n)
+        began = time.process_time()
+        toxicity.forward_backward(emission, np.array([0, n]), moves, first)
+        return time.process_time() - began
+
+    seconds(1000)
+    one, two = seconds(500_000), seconds(1_000_000)
+    assert one < 5 and two < 2.5 * one + 0.2
+
+
 def test_toxicity_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
