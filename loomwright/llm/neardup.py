@@ -1,7 +1,8 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 1. Every text becomes the set of its word shingles, as 64-bit hashes; equal sets are one
-   class from here on, whatever the number of copies.
+   class from here on, whatever the number of copies. Sets are equal if their sizes and sums
+   under two unrelated hashes are.
 2. A class's sketch is its ``SKETCH`` smallest hashes. Inverted lists of the ``LISTED``
    smallest give the overlaps. Two similar sets share at least a known part of those values
    (five standard deviations below the expected one), so it is enough to list each class
@@ -14,18 +15,22 @@
    linked through the hub must share more than half of one's difference, so differences get
    inverted lists of their rarest shingles, and the test runs inside the join on these lists,
    first against each list's member with the smallest difference, then across components.
-   Members that aren't near their list's hub are compared with the list's members of other
-   components; that join lets out only pairs that the sketches find likely. No list is capped.
+   Members that aren't near their list's hub meet the list's members of other components
+   whose sets have such a size that they can be similar: lists are parted by the logarithm of
+   the size. That join lets out only pairs that the sketches find likely. No list is capped.
 4. A pair's similarity is first estimated from the sketch of the union; likely pairs (4.5
-   standard deviations of room) are confirmed on the full sets of the whole texts.
+   standard deviations of room) are confirmed on the full sets of the whole texts, by another
+   hash than the one that made them candidates.
 
 Links that would join what is joined already are not needed and not looked for, so a group
 of copies gives about as many pairs as it has different texts.
 
 Cases: a text without words, or null, has an empty set and is linked with nothing. A row
-without an id is linked with nothing and has a null component. Rows with the same id count
-as one document. A text with fewer words than a shingle has its whole sequence as its one
-shingle. Empty tables give empty results. Only the id and text columns are read.
+without an id is linked with nothing and has a null component. Rows with the same id are one
+document: its texts' groups are joined, and all its rows have the same component; ``keep_one``
+keeps the one with the smallest text. A text with fewer words than a shingle has its whole
+sequence as its one shingle. Empty tables give empty results. Only the id and text columns
+are read, so other columns may have any names; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -44,14 +49,16 @@ from .storage import Workspace
 
 SKETCH = 64
 LISTED = 32
+#: Keys of the hash of candidates and of the one that confirms them.
+PROPOSE, CONFIRM = 1, 2
 
 
-def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int, key: int = PROPOSE) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
     data, at = tb.buffers(column)
     data = tb.LOWER[data]
     word = tb.words(data, at)
-    hashes = tb.Hasher(data)(word.start, word.end)
+    hashes = tb.Hasher(data, key)(word.start, word.end)
     grams = tb.windows(hashes, width)
     out = []
     for first, last in zip(word.at[:-1].tolist(), word.at[1:].tolist()):
@@ -61,23 +68,27 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def prints(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, fa, fb, sketch`` of each row; two equal sets have equal fa and fb."""
-    names = ["doc_id", "n_shingles", "fa", "fb", "sketch"]
+    """``doc_id, mark, n_shingles, fa, fb, sketch`` of each row; equal sets have equal fa and fb, ``mark`` is the text's own."""
+    names = ["doc_id", "mark", "n_shingles", "fa", "fb", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
-                fa = np.array([np.add.reduce(s, dtype=np.uint64) for s in sets], np.uint64)
-                fb = np.array([np.add.reduce(tb.mix(s), dtype=np.uint64) for s in sets], np.uint64)
+                fa = np.array([np.add.reduce(tb.mix(s), dtype=np.uint64) for s in sets], np.uint64)
+                fb = np.array([np.add.reduce(tb.mix(s), dtype=np.uint64) for s in shingle_sets(part.column("text"), width, CONFIRM)], np.uint64)
                 heads = [s[:SKETCH] for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
                 flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
                 # Spark's longs are signed; with the top bit turned they keep the order of the hashes.
                 flat = (flat ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fa long, fb long, sketch array<long>")
+    return _marked(docs).mapInArrow(run, "doc_id long, mark long, n_shingles long, fa long, fb long, sketch array<long>")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -92,11 +103,11 @@ def _may_reach(a: Column, b: Column, least: float) -> Column:
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b with n and sketch each) that may be similar enough, by size and by estimate."""
+    """Of distinct pairs (a, b with n and sketch each) those that may be similar enough, by size and by estimate."""
     t = percent / 100
     least = t - 4.5 * math.sqrt(t * (1 - t) / SKETCH)
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return pairs.where(sizes & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b").distinct()
+    return pairs.where(sizes & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -111,10 +122,10 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             for part in tb.slices(batch, "text_b", tb.SLICE_BYTES // 2):
                 seen: dict[int, np.ndarray] = {}
                 rows = []
-                for k, (a, b, y) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part.column("text_b"), width))):
+                for k, (a, b, y) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part.column("text_b"), width, CONFIRM))):
                     x = seen.get(a)
                     if x is None:
-                        x = seen[a] = shingle_sets(part.column("text_a").slice(k, 1), width)[0]
+                        x = seen[a] = shingle_sets(part.column("text_a").slice(k, 1), width, CONFIRM)[0]
                     delta = np.setxor1d(x, y, assume_unique=True)
                     both = (len(x) + len(y) - len(delta)) // 2
                     rows.append((a, b, len(x), len(y), 100 * both >= percent * (both + len(delta)), delta.view(np.int64)))
@@ -129,18 +140,17 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row: its near-duplicates' smallest id, and whether that is its own."""
     space = Workspace(docs.sparkSession)
-    every = space.keep("prints", prints(docs, width))
     key = ["fa", "fb", "n_shingles"]
-    classes = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class"))
-    classes = space.keep("classes", classes)
-    sketches = every.join(classes.select(F.col("class").alias("doc_id"), *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"])
-    sketches = space.keep("sketches", sketches.select(F.col("doc_id").alias("class"), F.col("n_shingles").alias("n"), "sketch"))
+    # A class is known by its set, so an id with several texts is in several classes.
+    every = space.keep("prints", prints(docs, width).withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64(*key))))
+    first = F.min(F.struct("doc_id", "mark")).alias("first")
+    sketches = space.keep("sketches", every.where("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), first))
 
     lists = space.keep("lists", _lists(sketches, percent))
-    listed = lists.select("class").distinct()
-    likely = space.keep("listed", sketches.join(listed, "class", "left_semi"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = space.keep("texts", texts.join(listed.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    likely = space.keep("listed", sketches.join(lists.select("class").distinct(), "class", "left_semi"))
+    # One text of each listed class.
+    texts = _marked(docs).join(likely.select("first.doc_id", "first.mark", "class"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    texts = space.keep("texts", texts.select(F.col("class").alias("doc_id"), "text"))
 
     hubs = space.keep("hubs", _hubs(lists))
     pairs = lists.join(hubs, "value").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
@@ -149,18 +159,23 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = near.where("linked").select("a", "b")
     joined = space.keep("joined-0", components(links, space, "stars-0"))
     lists_d = space.keep("delta-lists", _delta_lists(near, percent))
-    for turn, chosen in ((1, _to_smallest), (2, _across)):
+    for turn, chosen_pairs in ((1, _to_smallest), (2, _across)):
         open_ = space.keep(f"open-{turn}", _open(lists_d, joined))
-        more = space.keep(f"links-{turn}", chosen(open_, near, percent))
+        more = space.keep(f"links-{turn}", chosen_pairs(open_, near, percent))
         joined = _joined(more, joined, space, turn)
     far = space.keep("far", _far_pairs(lists, hubs, near, joined, likely, percent))
     more = space.keep("links-3", compared(far, texts, width, percent).where("linked").select("a", "b"))
     joined = _joined(more, joined, space, 3)
-    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "delta-lists", "open-1", "open-2", "far", "links-1", "links-2", "links-3")
-    ids = classes.join(joined, F.col("class") == F.col("node"), "left").select(*key, F.coalesce("component", "class").alias("component_id"))
-    out = every.select("doc_id", *key).join(ids, key, "left")
-    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    own = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
+    # Texts of one id belong together.
+    ids = every.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("doc_id", "a")
+    same = space.keep("same-id", every.join(ids, "doc_id").where("class <> a").select("a", F.col("class").alias("b")).distinct())
+    joined = _joined(same, joined, space, 4)
+    roots = sketches.join(joined, F.col("class") == F.col("node"), "left").select("class", "first.doc_id", F.coalesce("component", "class").alias("component"))
+    smallest = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = space.keep("ids", roots.join(smallest, "component").select("class", "component_id"))
+    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "delta-lists", "open-1", "open-2", "far", "links-1", "links-2", "links-3", "same-id", *(f"{x}-{k}" for k in range(5) for x in ("joined", "stars")))
+    out = every.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
+    own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -180,8 +195,8 @@ def _lists(sketches: DataFrame, percent: int) -> DataFrame:
 
 def _hubs(lists: DataFrame) -> DataFrame:
     """``value, hub``: of each list with two members or more, the one whose values are most frequent."""
-    top = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("class"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    return top.where("n > 1").select("value", (-F.col("top.col2")).alias("hub"))
+    top = lists.groupBy("value").agg(F.max(F.struct(F.col("weight"), F.bitwise_not("class").alias("other"))).alias("top"), F.count(F.lit(1)).alias("n"))
+    return top.where("n > 1").select("value", F.bitwise_not("top.other").alias("hub"))
 
 
 def _joined(links: DataFrame, joined: DataFrame, space: Workspace, turn: int) -> DataFrame:
@@ -270,16 +285,31 @@ def _far_pairs(lists: DataFrame, hubs: DataFrame, near: DataFrame, joined: DataF
     least = t - 4.5 * math.sqrt(t * (1 - t) / SKETCH)
     known = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.lit(True).alias("near"))
     now = lists.join(hubs, "value").join(known, ["hub", "class"], "left").join(joined, F.col("class") == F.col("node"), "left")
-    rows = now.select("value", "class", (F.coalesce("near", F.lit(False)) | (F.col("class") == F.col("hub"))).alias("near"), F.coalesce("component", "class").alias("component"))
     # The hub itself was compared with all members by their sketches, so only its likely ones are near it.
-    rows = rows.join(sketches, "class").select("value", "class", "near", "component", "n", "sketch")
-    one, two = (rows.select("value", *(F.col(x).alias(f"{x}_{s}") for x in ("class", "near", "component", "n", "sketch"))) for s in "ab")
-    likely = (F.col("component_a") != F.col("component_b")) & (F.col("near_b") | (F.col("class_a") < F.col("class_b"))) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
-    one = one.where("NOT near_a")
-    return one.join(two, (one["value"] == two["value"]) & likely).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+    rows = now.select("value", "class", (F.coalesce("near", F.lit(False)) | (F.col("class") == F.col("hub"))).alias("near"), F.coalesce("component", "class").alias("component"))
+    some = rows.groupBy("value").agg(F.min("near").alias("all_near"), F.min("component").alias("x"), F.max("component").alias("y")).where("NOT all_near AND x <> y").select("value")
+    # Similar sets' sizes are in the same part or in neighbouring ones; the parts are a little wider than need be, for rounding.
+    part = F.floor(F.log(F.col("n")) / (-1.001 * math.log(t))).cast("int")
+    rows = rows.join(some, "value").join(sketches, "class").select("value", "class", "near", "component", "n", "sketch", part.alias("part"))
+    one, two = (rows.select("value", "part", *(F.col(x).alias(f"{x}_{s}") for x in ("class", "near", "component", "n", "sketch"))) for s in "ab")
+    one = one.where("NOT near_a").withColumn("part", F.explode(F.sequence(F.col("part") - 1, F.col("part") + 1)))
+    sized = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    likely = (F.col("component_a") != F.col("component_b")) & (F.col("near_b") | (F.col("class_a") < F.col("class_b"))) & sized & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
+    met = one.join(two, (one["value"] == two["value"]) & (one["part"] == two["part"]) & likely)
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose near-duplicates have a smaller id; rows without an id stay."""
-    gone = groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti")
+    """``docs`` without the rows whose near-duplicates have a smaller id; rows without an id stay.
+
+    Of rows with the same id the one with the smallest text stays. All columns stay as they are.
+    """
+    gone = groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
+    if not repeated.take(1):
+        return left
+    own = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns))
+    order = F.struct(F.col("text"), F.xxhash64(*(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind)))
+    many = left.join(repeated, left["doc_id"] == repeated["__id"], "left_semi").groupBy("doc_id").agg(F.min_by(own, order).alias("__row")).select("__row.*")
+    return left.join(repeated, left["doc_id"] == repeated["__id"], "left_anti").unionByName(many)

@@ -77,6 +77,49 @@ def test_groups_are_those_of_all_pairs(spark, width, percent):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
+def test_lists_of_members_far_from_their_hub(spark):
+    """Documents that share most of their text without being similar, with some that are."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage, rows = text(200), []
+    for k in range(60):
+        own = text(rng.choice([25, 60, 90]))
+        rows.append(" ".join(own + passage))
+        if k % 3 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append(" ".join(own + passage))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    expected = brute(rows, 3, 85)
+    assert got == expected and 1 < len(set(expected.values())) < len(rows)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    one, two, other = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, one, "x"), (5, two, "y"), (5, one, "z"), (7, two, "x"), (9, other, "x"), (9, other, "x"), (None, one, "x"), (None, one, "x"), (3, one + " more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kept string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.groups(docs, 3, 85).collect()}
+    assert got == {(5, 3, False), (7, 3, False), (9, 9, True), (None, None, True), (3, 3, True)}
+    kept = neardup.keep_one(docs, 3, 85)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(3, one + " more", "x"), (9, other, "x"), (None, one, "x"), (None, one, "x")]))
+    several = spark.createDataFrame([(1, "b b b b", "x"), (1, "a a a a", "y"), (1, None, "z")], "doc_id long, text string, gone string")
+    assert [tuple(r) for r in neardup.keep_one(several, 3, 85).collect()] in ([(1, None, "z")], [(1, "a a a a", "y")])
+
+
+def test_sets_that_only_a_weak_hash_confuses(spark):
+    """Thue-Morse words and their mirrors, of which polynomial hashes modulo a power of two are equal."""
+    rows = []
+    for n in (1024, 2048, 4096):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+        rows += [f"{word} x y z", f"{word.translate(str.maketrans('ab', 'ba'))} x y z"]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85) == {i: i for i in range(6)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(200, 200 + k) for k in range(1, 50)]
