@@ -237,9 +237,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.slices(batch, "text"):
-                language, score, family = predict(shipped.value, part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(family, pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
+        for part in tb.parts(batches, "text"):
+            language, score, family = predict(shipped.value, part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(family, pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)

@@ -49,6 +49,8 @@ from .storage import Workspace
 
 SKETCH = 64
 LISTED = 32
+#: Partitions that a hub's members are dealt over at least.
+SALTS = 64
 #: Keys of the hash of candidates and of the one that confirms them.
 PROPOSE, CONFIRM = 1, 2
 
@@ -72,17 +74,16 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "mark", "n_shingles", "fa", "fb", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), width)
-                fa = np.array([np.add.reduce(tb.mix(s), dtype=np.uint64) for s in sets], np.uint64)
-                fb = np.array([np.add.reduce(tb.mix(s), dtype=np.uint64) for s in shingle_sets(part.column("text"), width, CONFIRM)], np.uint64)
-                heads = [s[:SKETCH] for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
-                flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
-                # Spark's longs are signed; with the top bit turned they keep the order of the hashes.
-                flat = (flat ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
+        for part in tb.parts(batches, "text"):
+            sets = shingle_sets(part.column("text"), width)
+            fa = np.array([np.add.reduce(tb.mix(s), dtype=np.uint64) for s in sets], np.uint64)
+            fb = np.array([np.add.reduce(tb.mix(s), dtype=np.uint64) for s in shingle_sets(part.column("text"), width, CONFIRM)], np.uint64)
+            heads = [s[:SKETCH] for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
+            flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+            # Spark's longs are signed; with the top bit turned they keep the order of the hashes.
+            flat = (flat ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
 
     return _marked(docs).mapInArrow(run, "doc_id long, mark long, n_shingles long, fa long, fb long, sketch array<long>")
 
@@ -118,19 +119,18 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     names = ["a", "b", "n_a", "n_b", "linked", "delta"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.slices(batch, "text_b", tb.SLICE_BYTES // 2):
-                seen: dict[int, np.ndarray] = {}
-                rows = []
-                for k, (a, b, y) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part.column("text_b"), width, CONFIRM))):
-                    x = seen.get(a)
-                    if x is None:
-                        x = seen[a] = shingle_sets(part.column("text_a").slice(k, 1), width, CONFIRM)[0]
-                    delta = np.setxor1d(x, y, assume_unique=True)
-                    both = (len(x) + len(y) - len(delta)) // 2
-                    rows.append((a, b, len(x), len(y), 100 * both >= percent * (both + len(delta)), delta.view(np.int64)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], names)
+        for part in tb.parts(batches, "text_b", tb.SLICE_BYTES // 2):
+            seen: dict[int, np.ndarray] = {}
+            rows = []
+            for k, (a, b, y) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part.column("text_b"), width, CONFIRM))):
+                x = seen.get(a)
+                if x is None:
+                    x = seen[a] = shingle_sets(part.column("text_a").slice(k, 1), width, CONFIRM)[0]
+                delta = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(delta)) // 2
+                rows.append((a, b, len(x), len(y), 100 * both >= percent * (both + len(delta)), delta.view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], names)
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     whole = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
@@ -221,7 +221,9 @@ def _delta_lists(near: DataFrame, percent: int) -> DataFrame:
     rows = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "linked", "delta").where(d > 0)
     # Hubs whose members are all linked to them have nothing left to decide.
     open_ = rows.groupBy("hub").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("size")).where("NOT all_linked AND size > 1").select("hub")
-    rows = rows.join(open_, "hub").withColumn("d", d)
+    # A hub may have very many members: they are dealt over several partitions, each of which gets the hub's number.
+    spread = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod("class", F.lit(SALTS)).cast("int")).join(spread, ["hub", "salt"]).drop("salt").withColumn("d", d)
     # A little less than the bound, for the rounding of c.
     least = F.when(F.col("linked"), (d + c * (F.col("n_hub") - F.col("n"))) / 2).otherwise(d - F.col("n") * (1 - t) / t) - 1e-6
     room = d - F.greatest(F.ceil(least), F.lit(1)) + 1

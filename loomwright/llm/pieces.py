@@ -40,7 +40,7 @@ from . import textbytes as tb
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, exact boolean"
 MARK = "▁"
 #: Bytes of cuts and their ids that a worker remembers, about; beyond that it starts anew. Longer cuts aren't remembered.
-REMEMBERED, LONGEST_REMEMBERED = 48 << 20, 1 << 10
+REMEMBERED, LONGEST_REMEMBERED = 32 << 20, 1 << 10
 #: Bytes of text that are encoded at a time, and bytes of new cuts that are indexed together.
 SLICE, RUN = 1 << 21, 1 << 18
 #: Parts up to so many bytes are relaxed side by side.
@@ -503,11 +503,10 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shipped.value)
-        for batch in batches:
-            for part in tb.slices(batch, "text", SLICE):
-                ids, at, exact = encoder.encode(part.column("text"))
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), lists, pa.array(exact)], [x.split()[0] for x in SCHEMA.split(", ")])
+        for part in tb.parts(batches, "text", SLICE):
+            ids, at, exact = encoder.encode(part.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), lists, pa.array(exact)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

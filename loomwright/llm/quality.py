@@ -148,9 +148,8 @@ def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, with_
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.slices(batch, "text"):
-                got = measure(part.column("text"), with_text, max_lost_percent)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[x]) for x in names[1:])], names)
+        for part in tb.parts(batches, "text"):
+            got = measure(part.column("text"), with_text, max_lost_percent)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[x]) for x in names[1:])], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -7,6 +7,8 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +62,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on for other tasks, and what it only holds counts as used."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """All batches in slices."""
+    for batch in batches:
+        yield from slices(batch, column, limit)
+        release()
+
+
 class Spans:
     """Runs of bytes of one class in each text: ``start``, ``end`` and, in ``at``, the first run of each text."""
 

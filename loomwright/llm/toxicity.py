@@ -41,6 +41,8 @@ SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 20_000
 #: A feature marks words as toxic if so many toxic documents have it, and so many times as often as others.
 LEAST_DOCS, LEAST_RATIO = 5, 24.0
+#: Bytes of texts that are scored at a time.
+SCORED = 1 << 22
 #: From this score on a document counts as toxic.
 TOXIC = 0.7
 
@@ -83,12 +85,17 @@ def words_of(column: pa.Array) -> Words:
 
 
 def words_by_slices(column: pa.Array) -> Words:
-    """The same, slice by slice, so that the hashing's tables stay small; places count from each slice's first byte."""
-    parts = [words_of(x.column("text")) for x in tb.slices(pa.RecordBatch.from_arrays([column], ["text"]), "text")]
-    if not parts:
-        return words_of(column)
-    sizes = np.concatenate([np.diff(p.at) for p in parts])
-    return Words(np.concatenate([p.features for p in parts]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.start for p in parts]), np.concatenate([p.end for p in parts]))
+    """The same, slice by slice, so that little more than the features is held; the words' places are left out."""
+    parts = [x.column("text") for x in tb.slices(pa.RecordBatch.from_arrays([column], ["text"]), "text")]
+    sizes = [tb.Spans(data, at, tb.LETTER[data]).per_text() for data, at in map(tb.buffers, parts)]
+    at = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
+    features, k = np.empty((int(at[-1]), 1 + len(PREFIXES)), np.int32), 0
+    for part in parts:
+        more = words_of(part).features
+        features[k : k + len(more)] = more
+        k += len(more)
+    none = np.zeros(0, np.int64)
+    return Words(features, at, none, none)
 
 
 @dataclass
@@ -237,23 +244,31 @@ def label_words(words: Words, toxic: np.ndarray) -> np.ndarray:
     label = np.zeros(len(doc), bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     for k in range(words.features.shape[1]):
-        f = words.features[:, k].astype(np.int64)
-        pair = np.unique(f * len(toxic) + doc)
-        bucket, of = pair // len(toxic), toxic[pair % len(toxic)]
-        d1, d0 = (np.bincount(bucket[x], minlength=(1 << BITS) + 1) for x in (of, ~of))
+        pair = words.features[:, k].astype(np.int64)
+        pair *= len(toxic)
+        pair += doc
+        pair.sort()
+        first = np.ones(len(pair), bool)
+        first[1:] = pair[1:] != pair[:-1]
+        pair = pair[first]
+        of = toxic[pair % len(toxic)]
+        pair //= len(toxic)
+        d1, d0 = (np.bincount(pair[x], minlength=(1 << BITS) + 1) for x in (of, ~of))
         telling = (d1 >= LEAST_DOCS) & ((d1 + 0.5) / (n1 + 1) >= LEAST_RATIO * (d0 + 0.5) / (n0 + 1))
         telling[-1] = False
-        label |= telling[f]
-    return label & toxic[doc]
+        label |= telling[words.features[:, k]]
+    label &= toxic[doc]
+    return label
 
 
 def train(words: Words, toxic: np.ndarray, rounds: int = 6, batch: int = 400, rate: float = 0.8, ridge: float = 1e-4, seed: int = 3) -> Field:
     """Fits the field to labelled words by adaptive gradient steps on their conditional likelihood, then the documents' model."""
     label = label_words(words, toxic)
-    doc = np.repeat(np.arange(len(toxic)), np.diff(words.at))
-    follows = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    counts = np.ones((2, 2))
-    np.add.at(counts, (label[follows - 1].astype(int), label[follows].astype(int)), 1)
+    # Pairs of neighbouring words by their labels; a document's first word follows none.
+    pair = label[:-1] * 2 + label[1:]
+    heads = words.at[:-1][np.diff(words.at) > 0]
+    counts = (1 + np.bincount(pair, minlength=4) - np.bincount(pair[heads[heads > 0] - 1], minlength=4)).reshape(2, 2).astype(float)
+    del pair
     field = Field(np.zeros((1 << BITS) + 1, np.float32), 0.0, np.log(counts / counts.sum(1, keepdims=True)), np.log(np.array([0.99, 0.01])), np.zeros(4))
     seen, seen_moves, seen_bias = np.full((1 << BITS) + 1, 1e-6), np.full((2, 2), 1e-6), 1e-6
     rng = np.random.default_rng(seed)
@@ -368,6 +383,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     words = words_by_slices(texts)
     del got, texts
     field = train(words, toxic)
+    del words
+    tb.release()
     s1, s0 = int(toxic.sum()), int((~toxic).sum())
     if s1 and s0:
         field.document[-1] += np.log(n1 / n0) - np.log(s1 / s0)
@@ -380,10 +397,10 @@ def score_documents(docs: DataFrame, field: Field, with_spans: bool = True) -> D
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score, spans = score_texts(shipped.value, batch.column("text"), with_spans)
+        for part in tb.parts(batches, "text", SCORED):
+            score, spans = score_texts(shipped.value, part.column("text"), with_spans)
             listed = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kinds)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= TOXIC).astype(np.int32)), listed], [x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= TOXIC).astype(np.int32)), listed], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
@@ -393,8 +410,8 @@ def drop_toxic(docs: DataFrame, field: Field, least: float = TOXIC) -> DataFrame
     shipped = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score, _ = score_texts(shipped.value, batch.column("text"), False)
-            yield batch.filter(pa.array(score < least))
+        for part in tb.parts(batches, "text", SCORED):
+            score, _ = score_texts(shipped.value, part.column("text"), False)
+            yield part.filter(pa.array(score < least))
 
     return docs.mapInArrow(run, docs.schema)
