@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is made once and held, not once for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """All white space off both ends, Unicode's too; Spark's ``trim`` takes spaces only."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 OPEN, CLOSE = "([{", ")]}"
+# Fixed value: what a call looks like.
 CALL = re.compile(r"(\w+)\s*\((.*)\)")
 #: A name's call, as an argument.
 INSTANCE = re.compile(r"([A-Za-z_]\w*)\s*\(")
@@ -29,8 +30,9 @@ def split_call(text: str | None) -> tuple[str, list[str]] | None:
         if c == "," and depth == 0:
             parts.append(inner[begin:k].strip())
             begin = k + 1
-    rest = inner[begin:].strip()
-    return m[1], parts + [rest] * bool(rest)
+    # What follows the last comma is an argument even if it is blank, but not if nothing follows.
+    rest = inner[begin:]
+    return m[1], parts + [rest.strip()] * bool(rest)
 
 
 def type_of(argument: str) -> str:

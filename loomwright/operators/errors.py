@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_of, strip
+from ..functions.text import count_of, let, strip
 
 # The patterns, markers and phrases that results depend on.
 TRACEBACK = r"(?sd)(Traceback[\s\S]*?(?:[A-Za-z\.]+[Ee]rror(?::\s*.*?)?|Exception(?::\s*.*?)?)(?=\s*Traceback|\n\s*\n|\n\s*$|$))"
@@ -37,20 +37,19 @@ def _filled(template: str, *values: Column) -> Column:
 
 
 def found_tracebacks(message: Column) -> Column:
-    return F.regexp_extract_all(message, F.lit(TRACEBACK), F.lit(1))
+    """All traceback blocks; a message without the word isn't searched."""
+    return F.when(F.contains(message, F.lit("Traceback")), F.regexp_extract_all(message, F.lit(TRACEBACK), F.lit(1))).when(message.isNotNull(), F.array().cast("array<string>"))
 
 
 def tracebacks(message: Column) -> Column:
     """All traceback blocks; null if there aren't as many as the word occurs."""
-    blocks = found_tracebacks(message)
-    return F.when(F.size(blocks) == count_of(message, "Traceback"), blocks)
+    return let(found_tracebacks(message), lambda blocks: F.when(F.size(blocks) == count_of(message, "Traceback"), blocks))
 
 
 def without_generic(message: Column) -> Column:
     """Without the wrapper's own traceback, the last one, where its text is present; null if that can't be told."""
-    blocks = tracebacks(message)
-    last = F.element_at(blocks, -1)
-    return F.when(~F.contains(message, F.lit(GENERIC)), strip(message)).when(F.size(blocks) > 1, strip(F.replace(message, last, F.lit(""))))
+    last_gone = let(tracebacks(message), lambda blocks: F.when(F.size(blocks) > 1, strip(F.replace(message, F.element_at(blocks, -1), F.lit("")))))
+    return F.when(~F.contains(message, F.lit(GENERIC)), strip(message)).when(message.isNotNull(), last_gone)
 
 
 def type_of_core(plain: Column) -> Column:
@@ -62,7 +61,7 @@ def type_of_core(plain: Column) -> Column:
 
 def error_type(message: Column) -> Column:
     """What the last line that looks like an error says before its colon; null if none does."""
-    return type_of_core(strip(without_generic(message)))
+    return let(strip(without_generic(message)), type_of_core)
 
 
 def from_target(message: Column, target: str = TARGET) -> Column:
@@ -80,7 +79,7 @@ def test_case(message: Column, old_name: str | None = None, entry_point: Column
     found = F.when(message.rlike(TEST_CASE), F.regexp_extract(message, TEST_CASE, 1))
     if old_name is not None:
         found = F.replace(found, F.lit(old_name), entry_point)
-    return F.when(error_type(message) == "AssertionError", strip(found)).when(error_type(message).isNotNull(), F.lit(""))
+    return let(error_type(message), lambda kind: F.when(kind == "AssertionError", strip(found)).when(kind.isNotNull(), F.lit("")))
 
 
 def name_error_line(message: Column) -> Column:

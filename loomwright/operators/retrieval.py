@@ -18,8 +18,8 @@ SEPARATORS = ("\n\n", "\n", "")
 NEAREST = 3
 NO_ANSWER = "Couldn't generate a response at this time. Please try again later."
 RAG_PROMPT = "You are a document search assistant. Answer the following question based on the provided context only."
-#: Query vectors that are sent to every executor at a time, and base vectors that are multiplied at a time.
-QUERY_BLOCK, BASE_BLOCK = 2048, 4096
+#: Query vectors and base vectors that meet in one group, about, and queries of it that are multiplied at a time.
+QUERY_BLOCK, BASE_BLOCK, QUERY_ROWS = 2048, 16384, 256
 #: Similarities count as equal up to so many digits; the smaller id comes first then.
 DIGITS = 9
 
@@ -77,48 +77,58 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFra
 def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
     """``qid, vec_id, sim, rank``: the k most similar base vectors of every query, by cosine.
 
-    Both sides have ``vec_id`` and ``embedding``. Queries go out in blocks of bounded size;
-    each task keeps the k best of its own vectors for each query, and only these meet.
+    Both sides have ``vec_id`` and ``embedding``. They are dealt into blocks of about ``QUERY_BLOCK``
+    and ``BASE_BLOCK`` rows by hashes of their ids, and every pair of blocks meets once, in a group of
+    its own that gives the k best of its vectors for each of its queries; only these meet. Nothing goes
+    through the driver but the two counts.
     """
-    wanted = queries.select("vec_id", unit(F.col("embedding")).alias("v")).orderBy("vec_id")
-    parts, block = [], []
-    for row in wanted.toLocalIterator():
-        block.append((row["vec_id"], row["v"]))
-        if len(block) == QUERY_BLOCK:
-            parts.append(_best(base, block, k))
-            block = []
-    if block or not parts:
-        parts.append(_best(base, block, k))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    n_queries, n_base = (max(1, -(-frame.count() // size)) for frame, size in ((queries, QUERY_BLOCK), (base, BASE_BLOCK)))
+
+    def dealt(frame: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        rows = frame.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias(name), unit(F.col("embedding")).alias("v"))
+        return rows.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    asked, there = dealt(queries, "qid", "q", n_queries, "b", n_base), dealt(base, "vec_id", "b", n_base, "q", n_queries)
+    names = ["qid", "vec_id", "sim"]
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        def matrix(rows: pa.Table) -> np.ndarray:
+            flat = rows.column("v").combine_chunks()
+            flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+            return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+        schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("sim", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids, vectors = right.column("vec_id").to_numpy(), matrix(right).T
+        out = []
+        for at in range(0, left.num_rows, QUERY_ROWS):
+            part = left.slice(at, QUERY_ROWS)
+            sims = np.round(matrix(part) @ vectors, DIGITS)
+            order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims))[:, :k]
+            out.append((np.repeat(part.column("qid").to_numpy(), order.shape[1]), ids[order].ravel(), np.take_along_axis(sims, order, 1).ravel()))
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+
+    every = asked.groupBy("q", "b").cogroup(there.groupBy("q", "b")).applyInArrow(best, "qid long, vec_id long, sim double").select(*names)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _best(base: DataFrame, block: list[tuple], k: int) -> DataFrame:
-    ids = np.array([x[0] for x in block], np.int64)
-    matrix = np.array([x[1] for x in block], np.float64).reshape(len(block), -1)
-    shipped = base.sparkSession.sparkContext.broadcast((ids, matrix))
-    names = ["qid", "vec_id", "sim"]
+def embedded(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], key: str = "doc_id") -> DataFrame:
+    """``vec_id, embedding``: each text through a pluggable embedder, which gets a list of texts and gives a row for each.
+
+    The same function embeds queries. A null text counts as empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shipped.value
-        sims, found = np.zeros((len(qid), 0)), np.zeros((len(qid), 0), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, BASE_BLOCK):
-                part = batch.slice(at, BASE_BLOCK)
-                vectors = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, -1)
-                own = np.round(q @ vectors.T, DIGITS) if len(qid) else np.zeros((0, part.num_rows))
-                sims = np.concatenate([sims, own], 1)
-                found = np.concatenate([found, np.broadcast_to(part.column("vec_id").to_numpy(), own.shape)], 1)
-                order = np.lexsort((found, -sims))[:, :k]
-                sims, found = np.take_along_axis(sims, order, 1), np.take_along_axis(found, order, 1)
-        if sims.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, sims.shape[1])), pa.array(found.ravel()), pa.array(sims.ravel())], names)
-
-    rows = base.where(F.col("embedding").isNotNull()).select("vec_id", unit(F.col("embedding")).alias("v"))
-    return rows.mapInArrow(run, "qid long, vec_id long, sim double")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = np.asarray(embed([t or "" for t in part.column("text").to_pylist()]), np.float32)
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))], ["vec_id", "embedding"])
+
+    return docs.select(F.col(key).cast("long").alias("vec_id"), "text").mapInArrow(run, "vec_id long, embedding array<float>")
 
 
 def contexts(found: DataFrame, texts: DataFrame) -> DataFrame:

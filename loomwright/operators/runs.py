@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .attempts import LAST_ATTEMPT
 
-#: Tasks whose running counts are made together; the counts before them come from a table of one row for each block.
+#: Tasks whose running counts are made together, and blocks whose counts are; so one task sees one row for a million tasks.
 BLOCK = 1000
 
 
@@ -25,8 +25,12 @@ def progress(done: DataFrame) -> DataFrame:
     flagged = done.withColumn("block", block).withColumn("ok", (F.col("status") == "pass").cast("long"))
     inner = Window.partitionBy("block").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)
     sums = flagged.groupBy("block").agg(F.sum("ok").alias("s"), F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    sums = sums.withColumn("top", F.floor(F.col("block") / BLOCK))
+    all_before = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
+    tops = sums.groupBy("top").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    tops = tops.select("top", F.coalesce(F.sum("s").over(all_before), F.lit(0)).alias("st"), F.coalesce(F.sum("n").over(all_before), F.lit(0)).alias("nt"))
+    before = Window.partitionBy("top").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.join(tops, "top").select("block", (F.col("st") + F.coalesce(F.sum("s").over(before), F.lit(0))).alias("s0"), (F.col("nt") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("n0"))
     own = flagged.withColumns({"s1": F.sum("ok").over(inner), "n1": F.count(F.lit(1)).over(inner)}).join(offsets, "block")
     return own.select("task", "attempt", "status", (F.col("s0") + F.col("s1")).alias("n_solved"), (F.col("n0") + F.col("n1") - F.col("s0") - F.col("s1")).alias("n_unsolved"))
 

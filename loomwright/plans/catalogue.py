@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import rounded
 from ..operators import attempts, calls, chat, decay, errors, responses, retrieval, runs
+from ..sources import io
+from ..streaming import progress
 from . import derived, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,6 +273,80 @@ def program_text(spark, sf_dir):
     return _responses(spark, sf_dir).select("item_id", F.sha2(text, 256).alias("program_sha256"), tx.requirements_file(x["requirements"]).alias("requirements_file"))
 
 
+def data_positions(spark, sf_dir):
+    """Positions of the rows of a file that is in the order of its ids."""
+    return io.with_positions(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")).select("doc_id", F.col("_pos").alias("position"))
+
+
+def data_keys(spark, sf_dir):
+    record = F.from_json("props", "map<string,string>")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", io.has_keys(record, ("k",)).alias("has_k"), io.has_keys(record, ("k", "other")).alias("has_both"))
+
+
+def data_selection(spark, sf_dir):
+    loaders = {name: lambda name=name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "part", "customer")}
+    picked = [rows.agg(F.lit(k).alias("place"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for k, (name, rows) in enumerate(io.selected(loaders, ("part", "orders")))]
+    return picked[0].unionByName(picked[1])
+
+
+def data_projection(spark, sf_dir):
+    return io.projected(_log(spark, sf_dir), ["status", "library", "task"])
+
+
+def data_mapped(spark, sf_dir):
+    def process(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.utf8_upper(batch.column("lang")), pc.cast(pc.utf8_length(batch.column("text")), pa.int64())], ["doc_id", "lang", "n_chars"])
+
+    return io.mapped(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"), process, "doc_id long, lang string, n_chars long")
+
+
+LETTERS = "aeiounrstl"
+
+
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    return np.array([[t.count(c) for c in LETTERS] for t in texts], np.float32).reshape(len(texts), len(LETTERS))
+
+
+def vec_embed(spark, sf_dir):
+    """Texts through an embedder that counts letters: any other one takes its place."""
+    return retrieval.embedded(spark.read.parquet(f"{sf_dir}/documents.parquet"), _letter_counts).select(F.col("vec_id").alias("doc_id"), F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("embedding"))
+
+
+def rag_answer(spark, sf_dir):
+    """Contexts through a generator that tells their length and has no answer for some."""
+
+    def generate(batches):
+        for batch in batches:
+            size = pc.utf8_length(batch.column("context"))
+            told = pc.binary_join_element_wise("characters: ", pc.cast(size, pa.string()), "")
+            odd = pc.equal(pc.bit_wise_and(batch.column("qid"), pa.scalar(1, pa.int64())), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("qid"), pc.if_else(odd, None, told)], ["qid", "answer"])
+
+    asked = retrieval.contexts(_nearest(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("qid", F.floor(F.col("qid") / 20).cast("long"))
+    return retrieval.answered(asked, generate, "qid long, answer string")
+
+
+def _pulls(spark, sf_dir):
+    return derived.view(spark, sf_dir, derived.PULLS, "events").withColumnRenamed("happened", "at")
+
+
+def pull_progress(spark, sf_dir):
+    return progress.latest(_pulls(spark, sf_dir)).select("model", "status", rounded(F.col("percent"), 6).alias("percent"), rounded(F.col("mb"), 6).alias("mb"))
+
+
+def pull_interventions(spark, sf_dir):
+    return progress.interventions(_pulls(spark, sf_dir), [30.0, 60.0, 90.0]).select("model", "intervention", "target", rounded(F.col("actual"), 6).alias("actual"))
+
+
+def chat_merged_system(spark, sf_dir):
+    merged = chat.merged_system(F.lit(SYSTEM), F.col("messages"))
+    return _conversations(spark, sf_dir).select("conv_id", F.size(merged).alias("n"), F.get(merged, F.lit(0))["content"].alias("first"))
+
+
+def chat_prompt_switch(spark, sf_dir):
+    return derived.view(spark, sf_dir, derived.RUNS, "lineitem").select("task", "attempt", chat.chosen_prompt(F.col("attempt") > 0, " Write the program.\n", "\nMend the program. ").alias("prompt"))
+
+
 QUERIES: tuple[Query, ...] = (
     ddi_pass_counts, ddi_influence, ddi_norm_effectiveness, ddi_overall, ddi_summary_lines, ddi_fit, ddi_thresholds, ddi_decay_curve, ddi_result,
     run_status, fresh_start_sessions, dataset_subset, result_schema_dispatch,
@@ -275,6 +354,7 @@ QUERIES: tuple[Query, ...] = (
     resp_parse, resp_codellama, resp_stop_strings, call_signature, call_blocks, call_from_assert, call_uncast, call_unbracket, ident_sanitise,
     chat_history_k3, chat_messages, chat_system_prompt, chat_flat, chat_template, chat_dump, ft_records, ft_log_pairs,
     vec_topk, rag_context, doc_chunks, text_wrap, name_allowed, model_tag, program_text,
+    data_positions, data_keys, data_selection, data_projection, data_mapped, vec_embed, rag_answer, pull_progress, pull_interventions, chat_merged_system, chat_prompt_switch,
 )
 
 

@@ -56,6 +56,12 @@ SELECT p_partkey AS call_id, CASE p_partkey % 6
   ELSE p_name END AS call
 FROM part"""
 
+#: Progress of a download for each type of event, in the order of time; its size is 1000 MB.
+PULLS = """
+SELECT event_type AS model, 'pulling' AS status, (event_id * 7919) % 1000 * 1048576 AS completed, cast(1000 * 1048576 AS BIGINT) AS total, ts AS happened
+FROM events"""
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The query's rows over these tables of the folder."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}

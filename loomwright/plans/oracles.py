@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import GUARD, KEYWORDS, QUIET
 from ..operators import errors
+from ..operators.retrieval import NO_ANSWER
 from . import derived
 
 
@@ -169,5 +170,29 @@ def retrieval_sql() -> dict[str, str]:
     }
 
 
+def sources_sql() -> dict[str, str]:
+    system = "You are a careful programmer."
+    count = "coalesce(length(text), 0) - coalesce(length(replace(text, '{}', '')), 0)"
+    embedding = " || ',' || ".join(f"({count.format(c)})::VARCHAR" for c in "aeiounrstl")
+    reached = """({before} SELECT model, {n} AS intervention, {t}::DOUBLE AS target, min(happened) AS happened, arg_min(pct, happened) AS actual FROM p{since} WHERE pct >= {t}{after} GROUP BY model)"""
+    first = reached.format(before="", n=1, t=30, since="", after="")
+    second = reached.format(before="", n=2, t=60, since=" JOIN (SELECT model, happened AS since FROM i1) USING (model)", after=" AND happened > since")
+    third = reached.format(before="", n=3, t=90, since=" JOIN (SELECT model, happened AS since FROM i2) USING (model)", after=" AND happened > since")
+    top = retrieval_sql()["rag_context"].replace("length(x)::INT AS n_chars, sha256(x) AS context_sha256", "x")
+    return {
+        "data_positions": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents",
+        "data_keys": """SELECT event_id, coalesce(contains(props, '"k":'), false) AS has_k, coalesce(contains(props, '"k":') AND contains(props, '"other":'), false) AS has_both FROM events""",
+        "data_selection": "SELECT 0 AS place, 'part' AS name, count(*) AS n FROM part UNION ALL SELECT 1, 'orders', count(*) FROM orders",
+        "data_projection": f"WITH log AS ({derived.ATTEMPT_LOG}) SELECT status, NULL::VARCHAR AS library, task FROM log",
+        "data_mapped": "SELECT doc_id, upper(lang) AS lang, length(text) AS n_chars FROM documents",
+        "vec_embed": f"SELECT doc_id, {embedding} AS embedding FROM documents",
+        "rag_answer": f"SELECT qid // 20 AS qid, CASE WHEN (qid // 20) % 2 = 1 THEN {_text(NO_ANSWER)} ELSE 'characters: ' || length(x) END AS answer FROM ({top})",
+        "pull_progress": f"WITH p AS ({derived.PULLS}) SELECT model, arg_max(status, happened) AS status, round(arg_max(completed, happened)::DOUBLE / arg_max(total, happened) * 100, 6) AS percent, round(arg_max(completed, happened)::DOUBLE / 1048576, 6) AS mb FROM p GROUP BY model",
+        "pull_interventions": f"WITH p AS (SELECT model, happened, completed::DOUBLE / total * 100 AS pct FROM ({derived.PULLS})), i1 AS {first}, i2 AS {second}, i3 AS {third} SELECT model, intervention, target, round(actual, 6) AS actual FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3)",
+        "chat_merged_system": f"SELECT conv_id, count(*)::INT AS n, '{system}' || chr(10) || chr(10) || arg_min(text, turn) AS first FROM conversations GROUP BY conv_id",
+        "chat_prompt_switch": f"WITH r AS ({derived.RUNS}) SELECT task, attempt, CASE WHEN attempt > 0 THEN 'Mend the program.' ELSE 'Write the program.' END AS prompt FROM r",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return ddi() | recorded() | errors_sql() | responses_sql() | chat_sql() | retrieval_sql()
+    return sources_sql() | ddi() | recorded() | errors_sql() | responses_sql() | chat_sql() | retrieval_sql()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import argparse
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, fields
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,49 @@ def in_order(rows: DataFrame) -> Iterator[Row]:
     return rows.orderBy("_pos").toLocalIterator()
 
 
+class Cursor:
+    """Rows one by one in their order: ``next`` gives None at the end, ``reset`` begins anew, ``len`` is their number."""
+
+    def __init__(self, rows: DataFrame, process: Callable[[Row], object] = lambda row: row):
+        self.rows, self.process = rows, process
+        self.reset()
+
+    def reset(self) -> None:
+        self._left = None
+
+    def next(self) -> object:
+        if self._left is None:
+            self._left = in_order(self.rows)
+        row = next(self._left, None)
+        return None if row is None else self.process(row)
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+
+def mapped(rows: DataFrame, process: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Rows through a pluggable function of column batches, which gives the columns of ``schema``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield process(batch)
+
+    return rows.mapInArrow(run, schema)
+
+
+def has_keys(record: Column, keys: Iterable[str]) -> Column:
+    """Whether a map is there and has all these keys."""
+    found = F.lit(True)
+    for key in keys:
+        found = found & F.map_contains_key(record, key)
+    return F.coalesce(found, F.lit(False))
+
+
+def selected(loaders: dict[str, Callable[[], DataFrame]], names: Iterable[str]) -> list[tuple[str, DataFrame]]:
+    """The data sets of these names in the order asked for; an unknown name is an error."""
+    return [(name, loaders[name]()) for name in names]
+
+
 def read_attempt_log(spark: SparkSession, path: str, schema: str = ATTEMPT_LOG) -> DataFrame:
     """A results file; a missing one fails as Spark reports it."""
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -126,3 +172,29 @@ class Settings:
         if not 0 <= float(merged["temperature"]) <= 1:
             merged["temperature"] = self.temperature
         return Settings(**merged)
+
+    @classmethod
+    def read(cls, path: str) -> Settings:
+        """Defaults with the values of a YAML file in their place."""
+        import yaml
+
+        return cls().updated(yaml.safe_load(Path(path).read_text()) or {})
+
+    @classmethod
+    def of_arguments(cls, argv: Sequence[str]) -> Settings:
+        """Defaults with ``--subset-size`` and ``--datasets`` of a command line in their place."""
+        parser = argparse.ArgumentParser()
+        parser.add_argument("--subset-size", type=int, default=None)
+        parser.add_argument("--datasets", nargs="+", choices=DATASETS, default=["mbpp"])
+        known = parser.parse_args(list(argv))
+        return cls().updated({"subset_size": known.subset_size, "datasets": tuple(known.datasets)})
+
+
+# Names of the data sets that can be asked for.
+DATASETS = ("ds1000", "humaneval", "mbpp")
+
+
+def read_prompt(path: str, raw: bool = False) -> str:
+    """A prompt or template from a file, without white space around it unless it is wanted raw."""
+    text = Path(path).read_text()
+    return text if raw else text.strip()

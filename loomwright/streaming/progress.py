@@ -18,3 +18,22 @@ def latest(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     timed = events.withWatermark("at", late) if events.isStreaming else events
     last = F.max_by(F.struct("status", "completed", "total"), "at")
     return timed.groupBy("model").agg(last.alias("x"), F.max("at").alias("at")).select("model", "at", "x.status", percent(F.col("x.completed"), F.col("x.total")).alias("percent"), megabytes(F.col("x.completed")).alias("mb"))
+
+
+#: Interventions of one download, at most.
+INTERVENTIONS = 5
+
+
+def interventions(events: DataFrame, targets: list[float]) -> DataFrame:
+    """``model, intervention, target, actual, at``: the first event after the intervention before whose percentage reaches each target.
+
+    A download is stopped and begun again there; targets after the first that isn't reached have no row.
+    """
+    timed = events.select("model", "at", percent(F.col("completed"), F.col("total")).alias("percent"))
+    before, out = None, None
+    for number, target in enumerate(targets[:INTERVENTIONS], 1):
+        left = timed if before is None else timed.join(before.select("model", F.col("at").alias("since")), "model").where("at > since")
+        first = F.min(F.struct("at", "percent")).alias("x")
+        before = left.where(F.col("percent") >= target).groupBy("model").agg(first).select("model", F.lit(number).alias("intervention"), F.lit(float(target)).alias("target"), F.col("x.percent").alias("actual"), F.col("x.at").alias("at"))
+        out = before if out is None else out.unionByName(before)
+    return out if out is not None else events.sparkSession.createDataFrame([], "model string, intervention int, target double, actual double, at timestamp")

@@ -56,3 +56,39 @@ def test_progress_stream(spark, tmp_path):
     query.stop()
     assert spark.sql("SELECT * FROM pulls").collect() == expected
     assert expected[0]["percent"] == 75.0 and expected[0]["mb"] == 3.0
+
+
+def test_cursor_and_row_functions(spark):
+    rows = io.with_positions(spark.createDataFrame([("a",), ("b",), ("c",)], "x string").coalesce(1))
+    cursor = io.Cursor(rows, lambda r: r["x"].upper())
+    assert [cursor.next() for _ in range(4)] == ["A", "B", "C", None] and len(cursor) == 3
+    cursor.reset()
+    assert cursor.next() == "A"
+    got = io.mapped(rows.select("x"), lambda b: b, "x string")
+    assert [r["x"] for r in got.collect()] == ["a", "b", "c"]
+    keyed = spark.createDataFrame([({"a": 1, "b": None},), ({"a": 1},), ({},), (None,)], "m map<string,int>")
+    assert [r[0] for r in keyed.select(io.has_keys(keyed["m"], ("a", "b"))).collect()] == [True, False, False, False]
+    assert [name for name, _ in io.selected({"x": lambda: 1, "y": lambda: 2}, ("y", "x"))] == ["y", "x"]
+    with pytest.raises(KeyError):
+        io.selected({}, ("z",))
+
+
+def test_settings_from_files_and_arguments(tmp_path):
+    (tmp_path / "c.yaml").write_text("learning_rate: 1e-4\nmax_history: 5\nother: 1\n")
+    assert (io.Settings.read(str(tmp_path / "c.yaml")).learning_rate, io.Settings.read(str(tmp_path / "c.yaml")).max_history) == (1e-4, 5)
+    (tmp_path / "none.yaml").write_text("")
+    assert io.Settings.read(str(tmp_path / "none.yaml")) == io.Settings()
+    assert io.Settings.of_arguments([]).datasets == ("mbpp",)
+    asked = io.Settings.of_arguments(["--subset-size", "7", "--datasets", "humaneval", "mbpp"])
+    assert (asked.subset_size, asked.datasets) == (7, ("humaneval", "mbpp"))
+    with pytest.raises(SystemExit):
+        io.Settings.of_arguments(["--datasets", "other"])
+    (tmp_path / "p.txt").write_text("\n hi \n")
+    assert io.read_prompt(str(tmp_path / "p.txt")) == "hi" and io.read_prompt(str(tmp_path / "p.txt"), raw=True) == "\n hi \n"
+
+
+def test_interventions(spark):
+    events = spark.createDataFrame([("m", k * 10, 100, f"2024-01-01 00:00:{k:02d}") for k in range(8)] + [("n", None, 100, "2024-01-01 00:00:00"), ("o", 99, 100, "2024-01-01 00:00:01")], "model string, completed long, total long, at string").selectExpr("model", "completed", "total", "CAST(at AS timestamp) AS at")
+    got = [(r["model"], r["intervention"], r["actual"]) for r in progress.interventions(events, [30, 30, 65, 90]).orderBy("model", "intervention").collect()]
+    assert got == [("m", 1, 30.0), ("m", 2, 40.0), ("m", 3, 70.0), ("o", 1, 99.0)]
+    assert progress.interventions(events, []).count() == 0

@@ -40,6 +40,7 @@ def test_error_types(spark):
 
 def test_calls(spark):
     assert calls.signature_of("foo(4, 5)") == "foo(arg_int: int, arg_int_2: int)"
+    assert calls.split_call("foo(1, )") == ("foo", ["1", ""]) and calls.split_call("foo(1,)") == ("foo", ["1"]) and calls.signature_of("foo(1, )") == "foo(arg_int: int, arg_str: str)"
     assert calls.signature_of("f()") == "f()" and calls.signature_of("none") is None
     assert calls.signature_of("f([1, 2], Root(5))") == "f(arg_list_int: List[int], arg_root: Root)"
     assert calls.signature_of("f(__import__('os').getcwd())") == "f(arg___import: __import__)"
