@@ -3,11 +3,14 @@
 ``pack`` stores a payload as 8-bit samples in a container with full sample tables.
 ``describe`` walks the nested boxes of any container, decodes its sample tables and gives
 codec, duration and the byte ranges of the keyframes; the media data itself is only cut
-out by those tables.
+out by those tables. ``describe_media`` does that for a binary column of a table. Samples
+in fragments (``moof``) are not among the tables and are not listed.
 
 Cases: a null text counts as empty and gives one padded frame. Equal texts give equal
-values. A container that can't be read gives a null description with the reason in
-``error``. Only the key and text columns are read.
+values; repeated rows give repeated results, empty tables none. A container that is null or
+can't be read gives a null description with the reason in ``error``. Only the key and the
+text or media column are read, so others may have any names. A text is held whole, some
+five times over, so texts of 100 MB fit an executor of 3 GB.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of a frame, which is one sample of the tables; payloads are padded to a multiple of it.
 FRAME = 192
@@ -145,16 +149,13 @@ def describe(media: bytes) -> list[Track]:
 
 
 def _track(box: dict[bytes, memoryview], length: int) -> Track:
-    missing = [x.decode() for x in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if x not in box]
+    missing = [x.decode() for x in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if x not in box and not (x == b"stsz" and b"stz2" in box)]
     if missing or not (b"stco" in box or b"co64" in box):
         raise ValueError(f"no {', '.join(missing) or 'chunk offsets'}")
     mdhd = box[b"mdhd"]
     timescale, duration = struct.unpack(">IQ", mdhd[20:32]) if mdhd[0] == 1 else struct.unpack(">II", mdhd[12:20])
     codec = bytes(box[b"stsd"][12:16]).decode("latin-1")
-    size, count = struct.unpack(">II", box[b"stsz"][4:12])
-    if size and size * count > length:
-        raise ValueError("the samples are larger than the file")
-    sizes = [size] * count if size else [x for (x,) in _numbers(box[b"stsz"], 8, "I")]
+    sizes = _sizes(box, length)
     chunks = [x for (x,) in (_numbers(box[b"stco"], 4, "I") if b"stco" in box else _numbers(box[b"co64"], 4, "Q"))]
     layout = _numbers(box[b"stsc"], 4, "III")
     firsts, offsets, runs, k = [x[0] for x in layout], [], [], 0
@@ -180,6 +181,23 @@ def _track(box: dict[bytes, memoryview], length: int) -> Track:
     return Track(codec, timescale, ticks or duration, offsets, sizes, keys, runs)
 
 
+def _sizes(box: dict[bytes, memoryview], length: int) -> list[int]:
+    """The samples' sizes: one for all, one each, or one each in 4, 8 or 16 bits."""
+    if b"stsz" in box:
+        size, count = struct.unpack(">II", box[b"stsz"][4:12])
+        if size and size * count > length:
+            raise ValueError("the samples are larger than the file")
+        return [size] * count if size else [x for (x,) in _numbers(box[b"stsz"], 8, "I")]
+    bits = box[b"stz2"][7]
+    if bits in (8, 16):
+        return [x for (x,) in _numbers(box[b"stz2"], 8, "B" if bits == 8 else "H")]
+    count = int.from_bytes(box[b"stz2"][8:12], "big")
+    pairs = bytes(box[b"stz2"][12 : 12 + (count + 1) // 2])
+    if bits != 4 or len(pairs) < (count + 1) // 2:
+        raise ValueError("a table is cut off")
+    return [x for byte in pairs for x in (byte >> 4, byte & 15)][:count]
+
+
 def feature_of(track: Track) -> str:
     """What the tables say, in one line: codec, duration, counts and the keyframes' ranges as a digest."""
     ranges = ",".join(f"{a}-{b}" for a, b in track.keyframes())
@@ -216,4 +234,31 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
             for at in range(0, len(texts), 256):
                 yield rows(batch, texts, at, min(at + 256, len(texts)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+DESCRIBED = "tracks array<struct<codec:string,duration_ms:long,samples:long,keyframes:array<struct<start:long,end:long>>>>, error string"
+
+
+def describe_media(rows: DataFrame, key: str, media: str) -> DataFrame:
+    """``key``, the tracks of the container in a binary column, and why it can't be read where it can't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.list_(pa.struct([("codec", pa.string()), ("duration_ms", pa.int64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part, found, errors = batch.slice(at, 16), [], []
+                for raw in part.column(1):
+                    told, error = None, None
+                    try:
+                        if not raw.is_valid:
+                            raise ValueError("no media")
+                        told = [{"codec": t.codec.strip(), "duration_ms": t.duration * 1000 // max(t.timescale, 1), "samples": len(t.sizes), "keyframes": [{"start": a, "end": b} for a, b in t.keyframes()]} for t in describe(raw.as_buffer())]
+                    except (ValueError, IndexError, struct.error) as e:
+                        error = str(e)
+                    found.append(told)
+                    errors.append(error)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kinds), pa.array(errors, pa.string())], [key, "tracks", "error"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, media).mapInArrow(run, f"`{key}` {kind}, {DESCRIBED}")

@@ -167,3 +167,22 @@ def test_media_bytes_are_kept(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
     for r in media.media_columns(docs).collect():
         assert hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"] and r["payload_bytes"] == 192 and r["error"] is None
+
+
+def test_a_binary_column_is_described(spark):
+    stored = media.pack(media.padded(b"x" * 5000))
+    rows = spark.createDataFrame([("a", bytearray(stored), 1), ("b", None, 2), ("c", bytearray(b"no container"), 3), ("d", bytearray(stored[:300]), 4)], "name string, body binary, error int")
+    got = {r["name"]: r for r in media.describe_media(rows, "name", "body").collect()}
+    track = media.describe(stored)[0]
+    assert got["a"]["error"] is None and [(k["start"], k["end"]) for k in got["a"]["tracks"][0]["keyframes"]] == track.keyframes()
+    assert (got["a"]["tracks"][0]["codec"], got["a"]["tracks"][0]["samples"], got["a"]["tracks"][0]["duration_ms"]) == ("raw", 27, 648)
+    assert all(got[k]["tracks"] is None and got[k]["error"] for k in "bcd")
+
+
+def test_compact_sizes():
+    body = lambda bits, count, rest: memoryview(bytes([0, 0, 0, 0, 0, 0, 0, bits]) + struct.pack(">I", count) + rest)
+    assert media._sizes({b"stz2": body(4, 3, bytes([0x12, 0x30]))}, 99) == [1, 2, 3]
+    assert media._sizes({b"stz2": body(8, 2, bytes([7, 9]))}, 99) == [7, 9]
+    assert media._sizes({b"stz2": body(16, 2, bytes([1, 0, 0, 2]))}, 999) == [256, 2]
+    with pytest.raises(ValueError):
+        media._sizes({b"stz2": body(4, 9, b"a")}, 99)

@@ -33,3 +33,40 @@ def test_every_stage_does_its_part(spark, sf_dir, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in rows["mixing"]}
     assert len(rows["sentencepiece"]) == len(rows["mixing"])
     assert all(r["ids"] == model.encode(texts[r["doc_id"]] or "") and r["n_tokens"] == len(r["ids"]) for r in rows["sentencepiece"])
+
+
+SCHEMA = "doc_id int, text string, lang string, source string, n_chars int, gone string, rate double, score string, ids string, __pii_email string"
+GOOD = "A quiet text about rivers and the boats on them, which nobody minds."
+
+
+def test_stages_keep_odd_rows(spark, tmp_path):
+    """Nulls in any column, blank and long texts, ties, repeated rows and clashing names, stage by stage."""
+    rows = [
+        (1, GOOD, "en", "a", 3, "g", 0.5, "s", "i", "p"), (1, GOOD, "en", "a", 3, "g", 0.5, "s", "i", "p"), (2, GOOD, None, None, None, None, None, None, None, None), (3, None, "en", "a", 0, "g", 0.1, "s", "i", "p"),
+        (None, None, None, None, None, None, None, None, None, None), (4, "", "en", "b", 0, "g", 0.1, "s", "i", "p"), (5, "x" * 100_000 + " mail a@b.co", "en", "b", 0, "g", 0.1, "s", "i", "p"), (None, "no id, call a@b.co", "en", "b", 0, "g", 0.1, "s", "i", "p"),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(cp.STAGES)
+    plain = lambda frame: sorted(map(repr, map(tuple, frame.collect())))
+    assert plain(stages["toxicity"](spark, docs, str(tmp_path))) == plain(docs)
+    # Of the rows of one id and of copies one stays; rows without an id all stay.
+    kept = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert kept.dtypes == docs.dtypes and plain(kept) == sorted(repr(r) for r in [rows[0], *rows[3:]])
+    clean = stages["pii"](spark, docs, str(tmp_path))
+    assert clean.dtypes == docs.dtypes
+    texts = {r["text"] for r in clean.collect()}
+    assert texts == {GOOD, None, "", "x" * 100_000 + " mail [EMAIL]", "no id, call [EMAIL]"}
+    assert sorted(r["__pii_email"] or "" for r in clean.collect()) == sorted(r[9] or "" for r in rows)
+    mixed = stages["mixing"](spark, docs, str(tmp_path))
+    assert [c for c, _ in mixed.dtypes] == docs.columns and {repr(tuple(r)) for r in mixed.drop("rate").collect()} <= {repr(tuple(r)) for r in docs.drop("rate").collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    got = stages["sentencepiece"](spark, docs, str(tmp_path)).collect()
+    assert sorted((repr(r["doc_id"]), r["ids"]) for r in got) == sorted((repr(r[0]), model.encode(r[1] or "")) for r in rows)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
