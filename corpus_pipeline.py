@@ -1,7 +1,11 @@
 """A corpus from raw documents to token ids, in stages that each write what they keep.
 
 Every stage works on all rows that its predecessor kept. All but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever other columns there are and whatever their names.
+
+Cases, for all stages: an empty table gives an empty one; texts of any length are taken
+whole; rows without an id and null or blank texts pass all stages (mixing may draw no copy
+of them). A stage's own docstring says what it does with ties and repeated rows.
 """
 
 from __future__ import annotations
@@ -14,27 +18,42 @@ from loomwright.llm.storage import Workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the limit; the model learns from those that came in."""
+    """Documents whose toxicity score stays under the limit; the model learns from those that came in.
+
+    A null or blank text has the score of texts without words. Repeated rows stay or go alike. An
+    id's labels count as toxic if one is; null labels don't count; without a toxic one all rows stay.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Rows of one id are one document, of which the row with the smallest text stays (null before any
+    other, then by a hash of the row). Rows without an id and texts without words are no duplicates.
+    """
     return neardup.keep_one(docs, width=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
+    """All documents, with personal data in their texts replaced by its kind; a null text stays null.
+
+    ``n_chars``, where there is one, follows the text. Repeated rows stay, and stay equal.
+    """
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the weights of their sources and shuffled; copies keep their document's id."""
+    """Documents repeated to the weights of their sources and shuffled; copies keep their document's id.
+
+    Repeated rows are repeated alike; rows without an id are drawn by their content. A null source is
+    a source of its own.
+    """
     return mixing.mix(docs).select(*(f"`{c}`" for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document, one row for each row; a null or empty text has none."""
     return pieces.encode_pieces(docs, pieces.Vocabulary.load(PIECE_MODEL))
 
 
