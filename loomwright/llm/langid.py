@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .storage import small_batches
 
 #: Families of languages by ISO 639-1 codes.
 FAMILIES = {
@@ -241,4 +242,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             language, score, family = predict(shipped.value, part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(family, pa.string())], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 #: Bytes of a frame, which is one sample of the tables; payloads are padded to a multiple of it.
 FRAME = 192
 PAD = b" "
@@ -234,7 +236,7 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
             for at in range(0, len(texts), 256):
                 yield rows(batch, texts, at, min(at + 256, len(texts)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 DESCRIBED = "tracks array<struct<codec:string,duration_ms:long,samples:long,keyframes:array<struct<start:long,end:long>>>>, error string"

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .storage import Workspace
+from .storage import Workspace, small_batches
 
 SKETCH = 64
 LISTED = 32
@@ -85,7 +85,7 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
             flat = (flat ^ np.uint64(1 << 63)).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names)
 
-    return _marked(docs).mapInArrow(run, "doc_id long, mark long, n_shingles long, fa long, fb long, sketch array<long>")
+    return small_batches(_marked(docs)).mapInArrow(run, "doc_id long, mark long, n_shingles long, fa long, fb long, sketch array<long>")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     whole = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return whole.mapInArrow(run, "a long, b long, n_a long, n_b long, linked boolean, delta array<long>")
+    return small_batches(whole).mapInArrow(run, "a long, b long, n_a long, n_b long, linked boolean, delta array<long>")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

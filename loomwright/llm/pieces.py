@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .storage import small_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, exact boolean"
 MARK = "▁"
 #: Bytes of cuts and their ids that a worker remembers, about; beyond that it starts anew. Longer cuts aren't remembered.
-REMEMBERED, LONGEST_REMEMBERED = 32 << 20, 1 << 10
+REMEMBERED, LONGEST_REMEMBERED = 16 << 20, 1 << 10
 #: Bytes of text that are encoded at a time, and bytes of new cuts that are indexed together.
-SLICE, RUN = 1 << 21, 1 << 18
+SLICE, RUN = 1 << 20, 1 << 17
 #: Parts up to so many bytes are relaxed side by side.
 SIDE_BY_SIDE = 128
 
@@ -508,7 +509,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at), pa.int64()), lists, pa.array(exact)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .storage import small_batches
 
 #: Stock phrases of boilerplate lines, in lower case.
 PHRASES = ("licensed under", "all rights reserved", "privacy policy", "terms of use", "terms of service", "copyright", "accept cookies", "subscribe to our newsletter")
@@ -152,4 +153,4 @@ def clean_lines(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT, with_
             got = measure(part.column("text"), with_text, max_lost_percent)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[x]) for x in names[1:])], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

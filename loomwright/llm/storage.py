@@ -23,6 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch: texts of some thousand bytes make batches of some megabytes, on both sides of the pipe.
+BATCH_ROWS = 2000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(table: DataFrame) -> DataFrame:
+    """The table; its session's Arrow batches get ``BATCH_ROWS`` rows if it has left Spark's default."""
+    conf = table.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return table
+
+
 class Workspace:
     """Tables of one run. Written ones cut the lineage and outlive the executors that made them."""
 

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .storage import small_batches
 
 BITS = 18
 #: Lengths, in bytes, of the proper prefixes that are features; the word itself is one as well.
@@ -402,7 +403,7 @@ def score_documents(docs: DataFrame, field: Field, with_spans: bool = True) -> D
             listed = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kinds)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= TOXIC).astype(np.int32)), listed], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, field: Field, least: float = TOXIC) -> DataFrame:
@@ -414,4 +415,4 @@ def drop_toxic(docs: DataFrame, field: Field, least: float = TOXIC) -> DataFrame
             score, _ = score_texts(shipped.value, part.column("text"), False)
             yield part.filter(pa.array(score < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
