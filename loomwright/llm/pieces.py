@@ -435,6 +435,24 @@ class Encoder:
         order = np.argsort(keys)
         self.keys_known, self.place_known = keys[order], place[order]
 
+    def _encode_group(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these cuts together and the number of each one's; equal cuts are looked up once."""
+        hasher = tb.Hasher(data)
+        _, first, number = np.unique(tb.numbered(hasher, start, end), return_index=True, return_inverse=True)
+        flat, sizes = self._looked_up(data, hasher, start[first], end[first])
+        mine = sizes[number]
+        return flat[tb.ragged((np.cumsum(sizes) - sizes)[number], mine)], mine
+
+    def _unlike(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The cuts whose ids don't decode to their bytes."""
+        lengths = np.diff(self.form_at)[ids]
+        back = self.forms[tb.ragged(self.form_at[ids], lengths)]
+        if len(back) == len(data) and (back == data).all():
+            return np.zeros(0, np.int64)
+        back_at = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        a, b, at = data.tobytes(), back.tobytes(), np.concatenate([[0], np.cumsum(sizes)])
+        return np.array([k for k in range(len(sizes)) if a[at[k] : at[k + 1]] != b[back_at[k] : back_at[k + 1]]], np.int64)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts together, where each text's begin, and whether decoding gives the text again."""
         column = pc.fill_null(column, "")
@@ -458,23 +476,20 @@ class Encoder:
             cut[1:] |= space[1:] & ~space[:-1]
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        hasher = tb.Hasher(data)
-        number = tb.numbered(hasher, start, end)
-        _, first, number = np.unique(number, return_index=True, return_inverse=True)
-        flat, sizes = self._looked_up(data, hasher, start[first], end[first])
-        del hasher
-        flat_at, mine = np.cumsum(sizes) - sizes, sizes[number]
-        ids = flat[tb.ragged(flat_at[number], mine)]
-        token_at = np.concatenate([[0], np.cumsum(mine)])[np.searchsorted(start, at)]
-        del start, end, number, mine, data, cut
-        back, back_at = self.decode(ids, token_at)
-        exact = np.diff(back_at) == np.diff(source_at)
-        if len(back) == len(source) and exact.all():
-            wrong = np.flatnonzero(back != source)
-            exact[np.searchsorted(source_at, wrong, "right") - 1] = False
-        else:
-            a, b = source.tobytes(), back.tobytes()
-            exact = np.array([a[source_at[k] : source_at[k + 1]] == b[back_at[k] : back_at[k + 1]] for k in range(len(exact))])
+        # Cuts go on in groups of bounded size, so that a very long text takes little more than its bytes.
+        flat, counts, exact, k = [], [], np.ones(len(at) - 1, bool), 0
+        while k < len(start):
+            until = max(k + 1, int(np.searchsorted(end, start[k] + SLICE, "right")))
+            part = data[start[k] : end[until - 1]]
+            ids, mine = self._encode_group(part, start[k:until] - start[k], end[k:until] - start[k])
+            wrong = self._unlike(ids, mine, part, end[k:until] - start[k:until])
+            exact[np.searchsorted(at, start[k:until][wrong], "right") - 1] = False
+            flat.append(ids)
+            counts.append(mine)
+            k = until
+        token_at = np.concatenate([[0], np.cumsum(np.concatenate(counts))])[np.searchsorted(start, at)]
+        exact &= np.diff(plain_at) == np.diff(source_at)
+        ids = np.concatenate(flat)
         return ids, token_at, exact
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
