@@ -107,3 +107,22 @@ def test_toxicity_of_held_out_rows(spark):
     assert spans[0] == spans[2] == [] and score[0] == score[2]
     kept = toxicity.drop_toxic(spark.createDataFrame([(1, text, "x"), (2, "fine words", "y"), (3, None, "z")], "doc_id long, text string, score string"), field).collect()
     assert [tuple(r) for r in kept] == [(2, "fine words", "y"), (3, None, "z")]
+
+
+def test_votes_are_those_of_brute_force():
+    """Every text's winner and its closest duel, counted one by one."""
+    rng = np.random.default_rng(7)
+    names = ["a", "b", "c", "d"]
+    machines = [langid.Machine(x, y, np.zeros(1), 0.0) for k, x in enumerate(names) for y in names[k + 1 :]]
+    margins = {id(m): rng.normal(size=200) for m in machines}
+    best, sure = langid._winners(names, machines, margins, 200)
+    for t in range(200):
+        votes, total, closest = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0), dict.fromkeys(names, np.inf)
+        for m in machines:
+            x = margins[id(m)][t]
+            votes[m.first if x >= 0 else m.second] += 1
+            for name, own in ((m.first, x), (m.second, -x)):
+                total[name] += np.tanh(own)
+                closest[name] = min(closest[name], own)
+        top = max(names, key=lambda n: (votes[n], total[n]))
+        assert names[best[t]] == top and np.isclose(sure[t], 1 / (1 + np.exp(-2 * closest[top])))
