@@ -16,7 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        folder = _own.setdefault("folder", tempfile.mkdtemp(prefix="loomwright-"))
+        if "folder" not in _own:
+            _own["folder"] = tempfile.mkdtemp(prefix="loomwright-")
+        folder = _own["folder"]
     return folder.rstrip("/")
 
 
