@@ -127,3 +127,26 @@ c AS (SELECT src, k, sum(p) OVER (PARTITION BY src ORDER BY k) AS cdf FROM t),
 n AS (SELECT u.*, (SELECT count(*) FROM c WHERE c.src = u.src AND c.cdf <= u.u) AS copies FROM u)
 SELECT doc_id, text, lang, source, n_chars, copy_no::INT AS copy_no, round(rate, 9) AS rate, substr(md5('order17:' || copy_no || ':' || doc_id), 1, 16) AS mix_key
 FROM (SELECT *, unnest(range(1, copies + 1)) AS copy_no FROM n)"""
+
+
+def _crc32(value: str) -> str:
+    """CRC-32 of a number's decimal text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({value}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}), 4294967295)"
+
+
+PERIODIC_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_crc32("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % nullif(len(w), 0) AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p, unnest(range(n)) AS i FROM e),
+t AS (SELECT r, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS x FROM f),
+m AS (SELECT s.r, s.i, o.i - s.i AS p FROM t s JOIN t o ON s.r = o.r AND s.x = o.x AND o.i > s.i AND 4 * (o.i - s.i) <= s.n),
+k AS (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM m),
+z AS (SELECT r, p, min(i) AS s, count(*) + p AS l FROM k GROUP BY r, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+u AS (SELECT r, s, l, min(p) AS p FROM z GROUP BY r, s, l),
+best AS (SELECT r, s, l, p FROM u QUALIFY row_number() OVER (PARTITION BY r ORDER BY l DESC, s, p) = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM u GROUP BY r),
+kept AS (SELECT t.r, string_agg(x, ' ' ORDER BY i) AS body FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.r = t.r AND t.i >= u.s + u.p AND t.i < u.s + u.l) GROUP BY t.r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
