@@ -150,3 +150,22 @@ kept AS (SELECT t.r, string_agg(x, ' ' ORDER BY i) AS body FROM t WHERE NOT EXIS
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
 FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
+TRIE_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+x AS (SELECT conv_id, mark, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS k FROM t),
+c AS (SELECT conv_id, CASE WHEN conv_id % 20 = 0 THEN 0 ELSE {_crc32("conv_id")} % 4 END AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, k, mark, words FROM c JOIN x ON x.conv_id = c.conv_id - c.conv_id % 20 AND k <= h
+  UNION ALL SELECT conv_id, 1, k, mark, words FROM x JOIN c USING (conv_id) WHERE k > h),
+o AS (SELECT conv_id, row_number() OVER w AS d, words, sha256(string_agg(mark, '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY d) AS parent, lead(key) OVER (PARTITION BY conv_id ORDER BY d) IS NULL AS ends
+  FROM (SELECT conv_id, d, words, key FROM o UNION ALL SELECT conv_id, 0, 0, '' FROM c)),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, min(parent) AS parent, min(words) AS words, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ending FROM p GROUP BY d, key),
+k AS (SELECT parent AS key, count(*) AS n FROM n WHERE d > 0 GROUP BY parent),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (key)),
+s AS (SELECT a.d, a.key, sum((m.n_convs - 1) * m.words) AS saved, count(*) FILTER (m.n_children = 0) AS leaves FROM m JOIN p a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.d, a.key)
+SELECT m.conv_id, m.d::BIGINT AS depth, above.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, sha256(coalesce(m.ending, '')) AS ends_sha256
+FROM m JOIN s USING (d, key) LEFT JOIN n above ON above.key = m.parent AND above.d = m.d - 1"""

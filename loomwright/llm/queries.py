@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, langid, media, mixing, neardup, oracles, periodic, pieces, pii, quality, secrets, toxicity
+from . import chatfmt, langid, media, mixing, neardup, oracles, periodic, pieces, pii, quality, secrets, toxicity, trie
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -68,6 +68,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op9_media_columns": op9_media_columns,
         "op10_secret_scan": op10_secret_scan,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -92,4 +97,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_pii": oracles.pii_sql(),
         "op10_secret_scan": oracles.secrets_sql(),
         "op12_periodic_runs": oracles.PERIODIC_SQL,
+        "op13_prefix_trie": oracles.TRIE_SQL,
     }
