@@ -169,3 +169,12 @@ s AS (SELECT a.d, a.key, sum((m.n_convs - 1) * m.words) AS saved, count(*) FILTE
 SELECT m.conv_id, m.d::BIGINT AS depth, above.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves,
   s.saved::BIGINT AS saved_tokens, sha256(coalesce(m.ending, '')) AS ends_sha256
 FROM m JOIN s USING (d, key) LEFT JOIN n above ON above.key = m.parent AND above.d = m.d - 1"""
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS x FROM pages),
+g AS (SELECT body, min(page_id) AS first FROM p GROUP BY body)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN g USING (body)"""

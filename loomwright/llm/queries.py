@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatfmt, langid, media, mixing, neardup, oracles, periodic, pieces, pii, quality, secrets, toxicity, trie
+from . import chatfmt, langid, media, mixing, neardup, oracles, periodic, pieces, pii, quality, secrets, toxicity, trie, warc
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -64,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_table(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_media_columns": op9_media_columns,
         "op10_secret_scan": op10_secret_scan,
+        "op11_warc": op11_warc,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_prefix_trie": op13_prefix_trie,
     }
@@ -96,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mixing": oracles.MIXING_SQL,
         "op7_pii": oracles.pii_sql(),
         "op10_secret_scan": oracles.secrets_sql(),
+        "op11_warc": oracles.WARC_SQL,
         "op12_periodic_runs": oracles.PERIODIC_SQL,
         "op13_prefix_trie": oracles.TRIE_SQL,
     }
