@@ -21,10 +21,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, let, listed, piece, places, running
+from .spans import SPAN, each, fold, held, listed, only, paired, piece, places, quoted, running
 
 
 @dataclass(frozen=True)
@@ -58,112 +58,111 @@ LEAST = 0.5
 BEFORE, AFTER = 48, 24
 
 
-def _digits(hit: Column) -> Column:
-    return F.regexp_replace(hit, "[^0-9]", "")
+def _digits(hit: str) -> str:
+    return f"regexp_replace({hit}, '[^0-9]', '')"
 
 
-def luhn(digits: Column) -> Column:
+def luhn(digits: str) -> str:
     """Whether a string of ASCII digits has a valid Luhn check digit."""
-    places_ = F.sequence(F.lit(1), F.length(digits))
 
-    def value(i: Column) -> Column:
-        d = F.substring(digits, -i, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))
+    def value(d: str, i: str) -> str:
+        return held(f"cast(substring({d}, -{i}, 1) as int)", lambda x: f"IF({i} % 2 = 1, {x}, {x} * 2 - IF({x} > 4, 9, 0))")
 
-    return F.when(F.length(digits) > 0, F.aggregate(places_, F.lit(0), lambda s, i: s + value(i)) % 10 == 0).otherwise(False)
+    return held(digits, lambda d: f"IF(length({d}) > 0, {fold(f'sequence(1, length({d}))', '0', lambda s, i: f'{s} + {value(d, i)}')} % 10 = 0, false)")
 
 
-def mod97(iban: Column) -> Column:
+def mod97(iban: str) -> str:
     """Whether a number without spaces leaves 1 when the first four characters go last and letters are 10 to 35."""
-    moved = F.concat(F.substring(iban, 5, 64), F.substring(iban, 1, 4))
 
-    def step(rest: Column, c: Column) -> Column:
-        v = F.when(c < "A", F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
-        return (rest * F.when(v > 9, 100).otherwise(10) + v) % 97
+    def step(rest: str, c: str) -> str:
+        return held(f"IF({c} < 'A', ascii({c}) - 48, ascii({c}) - 55)", lambda v: f"({rest} * IF({v} > 9, 100, 10) + {v}) % 97")
 
-    return F.aggregate(F.split(moved, ""), F.lit(0), step) == 1
+    return held(iban, lambda n: f"{fold(f'split(concat(substring({n}, 5, 64), substring({n}, 1, 4)), {quoted("")})', '0', step)} = 1")
 
 
-def _valid(kind: str, hit: Column) -> Column | None:
+def _valid(kind: str, hit: str) -> str:
     if kind == "ip":
         # Without leading zeros a part of three digits at most, which compares as text once it is padded.
-        bare = F.transform(F.split(hit, r"\."), lambda p: F.regexp_replace(p, "^0+", ""))
-        return F.forall(bare, lambda p: (F.length(p) <= 3) & (F.lpad(p, 3, "0") <= "255"))
-    if kind == "card":
-        return luhn(_digits(hit))
-    if kind == "phone":
-        return F.length(_digits(hit)).between(8, 15)
-    return None
+        bare = each(f"split({hit}, {quoted('[.]')})", lambda p: f"regexp_replace({p}, '^0+', '')")
+        return f"size({only(bare, lambda p: f"length({p}) > 3 OR lpad({p}, 3, '0') > '255'")}) = 0"
+    return luhn(_digits(hit)) if kind == "card" else f"length({_digits(hit)}) BETWEEN 8 AND 15"
 
 
 #: Code points that an ``iban`` may reach, and places where others may begin within it: each begins with four.
 _IBAN_REACH = 48
 
 
-def _ibans(spans: Column) -> Column:
-    """Of each reach (``part``) the longest number that the checksum confirms; none that lies inside an earlier one."""
+def _span(start: str, end: str, first: str, last: str, more: str = "") -> str:
+    return f"named_struct('start', {start}, 'end', {end}, 'from', {first}, 'to', {last}{more})"
+
 
-    def longest(s: Column) -> Column:
-        groups = F.split(s["part"], " ")
+def _ibans(spans: str) -> str:
+    """Of each reach (``part``) the longest number that the checksum confirms; none that lies inside an earlier one."""
 
-        def valid(k: Column) -> Column:
-            number = F.array_join(F.slice(groups, F.lit(1), k), "")
-            return (F.length(number) >= 12) & mod97(number)
+    def longest(s: str, groups: str) -> str:
+        def valid(k: str) -> str:
+            return held(f"array_join(slice({groups}, 1, {k}), '')", lambda n: f"length({n}) >= 12 AND {mod97(n)}")
 
-        k = F.try_element_at(F.filter(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), valid), F.lit(1))
-        size = F.length(F.array_join(F.slice(groups, F.lit(1), k), " "))
-        return F.struct(s["start"].alias("start"), (s["start"] + size).alias("end"), s["from"].alias("from"), (s["from"] + size).alias("to"))
+        k = f"try_element_at({only(f'sequence(size({groups}), 1, -1)', valid)}, 1)"
+        return held(f"length(array_join(slice({groups}, 1, {k}), ' '))", lambda n: _span(f"{s}.start", f"{s}.start + {n}", f"{s}.`from`", f"{s}.`from` + {n}"))
 
-    def outermost(found: Column) -> Column:
+    def outermost(found: str) -> str:
         before = _IBAN_REACH // 4
-        return F.filter(found, lambda s, i: ~F.exists(F.slice(found, F.greatest(i + 1 - before, F.lit(1)), F.least(i, F.lit(before))), lambda x: x["end"] >= s["end"]))
+        inside = lambda s, i: only(f"slice({found}, greatest({i} + 1 - {before}, 1), least({i}, {before}))", lambda x: f"{x}.`end` >= {s}.`end`")
+        return only(found, lambda s, i: f"size({inside(s, i)}) = 0")
 
-    return let(F.filter(F.transform(spans, longest), lambda s: s["end"].isNotNull()), outermost)
+    numbers = each(spans, lambda s: held(f"split({s}.part, ' ')", lambda g: longest(s, g)))
+    return held(only(numbers, lambda s: f"{s}.`end` IS NOT NULL"), outermost)
 
 
-def _score(raw: Column, kind: Kind, span: Column) -> Column:
+def _score(raw: str, kind: Kind, span: str) -> str:
     # A code point has four bytes at most.
-    first = F.greatest(span["from"] - 4 * BEFORE, F.lit(0))
-    before, after = piece(raw, first, span["from"] - first), piece(raw, span["to"], F.lit(4 * AFTER))
-    around = F.lower(F.concat(F.right(before, F.lit(BEFORE)), F.lit(" "), F.left(after, F.lit(AFTER))))
+    def around(first: str) -> str:
+        before, after = piece(raw, first, f"{span}.`from` - {first}"), piece(raw, f"{span}.`to`", str(4 * AFTER))
+        return f"lower(concat(right({before}, {BEFORE}), ' ', left({after}, {AFTER})))"
 
-    def any_of(words: tuple[str, ...]) -> Column:
-        return around.rlike(r"(?<![a-z0-9_])(?:" + "|".join(words) + r")s?(?![a-z0-9_])") if words else F.lit(False)
+    def any_of(words: tuple[str, ...], near: str) -> str:
+        return f"{near} RLIKE {quoted('(?<![a-z0-9_])(?:' + '|'.join(words) + ')s?(?![a-z0-9_])')}" if words else "false"
 
-    checked = kind.name not in ("email", "ssn")
-    return F.lit(kind.prior + CONFIRMED * checked) + F.when(any_of(kind.near), CONTEXT).otherwise(0.0) - F.when(any_of(kind.against), CONTEXT).otherwise(0.0)
+    def told(near: str) -> str:
+        prior = kind.prior + CONFIRMED * (kind.name not in ("email", "ssn"))
+        return f"round({prior}D + IF({any_of(kind.near, near)}, {CONTEXT}D, 0D) - IF({any_of(kind.against, near)}, {CONTEXT}D, 0D), 3)"
+
+    return held(f"greatest({span}.`from` - {4 * BEFORE}, 0)", lambda first: held(around(first), told))
 
 
 def with_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
     """``docs`` with a column ``pii_<kind>`` for each kind: its spans in order, with scores."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({prefix + k.name: _possible(body, k) for k in KINDS})
-    return found.withColumns({prefix + k.name: _checked(body, k, F.col(prefix + k.name)) for k in KINDS})
+    body = f"coalesce(`{text}`, '')"
+    found = docs.withColumns({prefix + k.name: F.expr(_possible(body, k)) for k in KINDS})
+    return found.withColumns({prefix + k.name: F.expr(_checked(body, k, prefix + k.name)) for k in KINDS})
 
 
-def _possible(body: Column, kind: Kind) -> Column:
+def _possible(body: str, kind: Kind) -> str:
     """Places of the kind's pattern; texts without a character that it needs aren't searched."""
     spans = places(body, kind.pattern, kind.group)
-    return F.when(body.contains(kind.needs), spans).otherwise(F.array().cast(SPAN)) if kind.needs else spans
+    return f"CASE WHEN contains({body}, {quoted(kind.needs)}) THEN {spans} ELSE cast(array() as {SPAN}) END" if kind.needs else spans
 
 
-def _checked(body: Column, kind: Kind, spans: Column) -> Column:
+def _checked(body: str, kind: Kind, spans: str) -> str:
     """The spans that pass the kind's rule, with scores; added ones only with the score they need."""
     if kind.name == "iban":
         spans = _ibans(spans)
     elif kind.name not in ("email", "ssn"):
-        spans = F.filter(spans, lambda s: _valid(kind.name, s["hit"]))
+        spans = only(spans, lambda s: _valid(kind.name, f"{s}.hit"))
+
+    def scored(good: str) -> str:
+        def each_of(raw: str) -> str:
+            return each(good, lambda s: _span(f"{s}.start", f"{s}.`end`", f"{s}.`from`", f"{s}.`to`", f", 'score', {_score(raw, kind, s)}"))
 
-    def scored(raw: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["from"].alias("from"), s["to"].alias("to"), F.round(_score(raw, kind, s), 3).alias("score")))
+        return f"CASE WHEN size({good}) = 0 THEN cast(array() as array<struct<start:int,end:int,from:int,to:int,score:double>>) ELSE {held(f'cast({body} as binary)', each_of)} END"
 
-    none = F.array().cast("array<struct<start:int,end:int,from:int,to:int,score:double>>")
-    told = F.when(F.size(spans) == 0, none).otherwise(let(body.cast("binary"), scored))
-    return told if kind.base else F.filter(told, lambda s: s["score"] >= LEAST)
+    told = held(spans, scored)
+    return told if kind.base else only(told, lambda s: f"{s}.score >= {LEAST}D")
 
 
-def _marked(spans: Column, mark: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.lit(mark).alias("kind")))
+def _marked(spans: str, mark: str) -> str:
+    return each(spans, lambda s: f"named_struct('from', {s}.`from`, 'to', {s}.`to`, 'kind', '{mark}')")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -185,22 +184,22 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark = "_" + mark
     found = with_spans(docs, text, mark)
-    spans = F.array_sort(F.concat(*(_marked(F.col(mark + k.name), f"[{k.name.upper()}]") for k in KINDS)))
+    spans = "array_sort(concat(" + ", ".join(_marked(mark + k.name, f"[{k.name.upper()}]") for k in KINDS) + "))"
 
-    def joined(raw: Column) -> Column:
-        def cut(s: Column) -> Column:
+    def joined(raw: str) -> str:
+        def cut(s: str) -> str:
             # Where the spans before reach to; a span that begins before that is part of them.
-            reached = running(s, F.lit(0), lambda at, x: F.greatest(at, x["to"]), F.greatest, "int")
-            parts = F.zip_with(s, reached, lambda x, at: F.when(x["from"] >= at, F.concat(piece(raw, at, x["from"] - at), x["kind"])).otherwise(""))
-            last = F.array_max(F.transform(s, lambda x: x["to"]))
-            return F.array_join(F.concat(parts, F.array(piece(raw, last, F.octet_length(F.col(text))))), "")
+            reached = running(s, "0", lambda at, x: f"greatest({at}, {x}.`to`)", lambda a, b: f"greatest({a}, {b})", "int")
+            parts = paired(s, reached, lambda x, at: f"CASE WHEN {x}.`from` >= {at} THEN concat({piece(raw, at, f'{x}.`from` - {at}')}, {x}.kind) ELSE '' END")
+            last = f"array_max({each(s, lambda x: f'{x}.`to`')})"
+            return f"array_join(concat({parts}, array({held(last, lambda at: piece(raw, at, f'octet_length(`{text}`)'))})), '')"
 
-        return let(spans, cut)
+        return held(spans, cut)
 
     none = F.lit(True)
     for k in KINDS:
         none = none & (F.size(mark + k.name) == 0)
-    new = F.when(F.col(text).isNull() | none, F.col(text)).otherwise(let(F.col(text).cast("binary"), joined))
+    new = F.when(F.col(text).isNull() | none, F.col(text)).otherwise(F.expr(held(f"cast(`{text}` as binary)", joined)))
     out = found.withColumn(text, new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))

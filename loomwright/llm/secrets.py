@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import SPAN, places
+from .spans import SPAN, each, only, places, quoted
 from .storage import Workspace
 
 
@@ -44,7 +44,7 @@ class Rule:
 
 
 RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]{12,}+", needs="AKIA"),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{32,}+"),
     Rule("pem", r"-----BEGIN\x20(?:[A-Z]++\x20)*+KEY-----", needs="-----BEGIN ", base=False),
@@ -67,17 +67,18 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def find(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All findings in a text, by start and then in the order of the rules."""
-    return F.array_sort(F.concat(*(_found(text, rule, rank) for rank, rule in enumerate(rules))))
+def find(text: Column | str, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All findings in a text, which is a column of a table or its name, by start and then in the order of the rules."""
+    name = text if isinstance(text, str) else str(text).removeprefix("Column<'").removesuffix("'>")
+    return F.expr("array_sort(concat(" + ", ".join(_found(f"`{name}`", rule, rank) for rank, rule in enumerate(rules)) + "))")
 
 
-def _found(text: Column, rule: Rule, rank: int) -> Column:
+def _found(text: str, rule: Rule, rank: int) -> str:
     hits = places(text, rule.pattern, rule.group)
     if rule.needs:
-        hits = F.when(text.contains(rule.needs), hits).otherwise(F.array().cast(SPAN))
-    good = F.filter(hits, lambda s: F.length(s["part"]) >= rule.least)
-    return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+        hits = f"CASE WHEN contains({text}, {quoted(rule.needs)}) THEN {hits} ELSE cast(array() as {SPAN}) END"
+    good = only(hits, lambda s: f"length({s}.part) >= {rule.least}")
+    return each(good, lambda s: f"named_struct('start', {s}.start, 'rank', {rank}, 'end', {s}.`end`, 'kind', {quoted(rule.kind)})")
 
 
 def _of_rank(findings: Column, rank: int) -> Column:
@@ -89,7 +90,7 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     blobs = docs.select(address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == rule_version(rules)).select("blob"), "blob", "left_anti")
-    return blobs.dropDuplicates(["blob"]).select("blob", F.lit(rule_version(rules)).alias("rules"), find(F.col("text"), rules).alias("findings"))
+    return blobs.dropDuplicates(["blob"]).select("blob", F.lit(rule_version(rules)).alias("rules"), find("text", rules).alias("findings"))
 
 
 class Ledger:

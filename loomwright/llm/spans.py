@@ -4,10 +4,15 @@ Spark has no function that gives the places of all matches. The text between the
 (``split``) and the matches themselves (``regexp_extract_all``) come from the same search,
 so their lengths, added up in turn, give every start and end. Bytes are counted as well:
 a part of a text is cut out by its bytes in time that doesn't depend on where it stands.
+
+Expressions with many lambdas are written as SQL text and parsed at once: building them from
+columns takes thousands of calls between Python and the JVM, which is seconds for one query.
 """
 
 from __future__ import annotations
 
+import inspect
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,77 +23,109 @@ SPAN = "array<struct<start:int,end:int,from:int,to:int,hit:string,part:string>>"
 #: Elements that are folded together; an array that a fold makes grows by copying, so none gets longer.
 BLOCK = 128
 
+_numbers = itertools.count()
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is made once and held, not once for each element that uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running(values: Column, zero: Column, step: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column], kind: str) -> Column:
+def _lambda(body: Callable[..., str]) -> str:
+    names = [f"v{next(_numbers)}" for _ in inspect.signature(body).parameters]
+    return f"{names[0] if len(names) == 1 else '(' + ', '.join(names) + ')'} -> {body(*names)}"
+
+
+def quoted(text: str) -> str:
+    """A literal in which nothing is escaped; patterns write a single quote as ``\\x27``."""
+    if "'" in text:
+        raise ValueError("a literal without single quotes is needed")
+    return f"r'{text}'"
+
+
+def each(values: str, body: Callable[..., str]) -> str:
+    return f"transform({values}, {_lambda(body)})"
+
+
+def only(values: str, body: Callable[..., str]) -> str:
+    return f"filter({values}, {_lambda(body)})"
+
+
+def paired(left: str, right: str, body: Callable[[str, str], str]) -> str:
+    return f"zip_with({left}, {right}, {_lambda(body)})"
+
+
+def fold(values: str, start: str, body: Callable[[str, str], str]) -> str:
+    return f"aggregate({values}, {start}, {_lambda(body)})"
+
+
+def held(value: str, body: Callable[[str], str]) -> str:
+    """``let`` in SQL text."""
+    return f"get({each(f'array({value})', body)}, 0)"
+
+
+def running(values: str, zero: str, step: Callable[[str, str], str], merge: Callable[[str, str], str], kind: str) -> str:
     """Of each element, what ``step`` has made of all elements before it, in time in proportion to their number.
 
     Elements are folded block by block; ``merge`` joins a block's result to those of the blocks before.
     """
-    none = F.array().cast(f"array<{kind}>")
-
-    def grown(s: Column, to: Column) -> Column:
-        return F.struct(to.alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    start = f"named_struct('at', cast({zero} as {kind}), 'out', cast(array() as array<{kind}>))"
 
-    start = F.struct(zero.cast(kind).alias("at"), none.alias("out"))
+    def grown(s: str, to: str) -> str:
+        return f"named_struct('at', cast({to} as {kind}), 'out', concat({s}.out, array({s}.at)))"
 
-    def folded(block: Column) -> Column:
-        return F.aggregate(block, start, lambda s, x: grown(s, step(s["at"], x).cast(kind)))
+    def folded(block: str) -> str:
+        return fold(block, start, lambda s, x: grown(s, step(f"{s}.at", x)))
 
-    def whole(held: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / BLOCK).cast("int"))
-        parts = F.transform(numbers, lambda b: folded(F.slice(held, b * BLOCK + 1, F.lit(BLOCK))))
+    def whole(rows: str) -> str:
+        numbers = f"sequence(0, cast(floor((size({rows}) - 1) / {BLOCK}) as int))"
+        parts = each(numbers, lambda b: folded(f"slice({rows}, {b} * {BLOCK} + 1, {BLOCK})"))
 
-        def joined(p: Column) -> Column:
-            before = F.aggregate(p, start, lambda s, x: grown(s, merge(s["at"], x["at"]).cast(kind)))["out"]
-            return F.flatten(F.zip_with(p, before, lambda x, b: F.transform(x["out"], lambda y: merge(b, y).cast(kind))))
+        def joined(p: str) -> str:
+            before = fold(p, start, lambda s, x: grown(s, merge(f"{s}.at", f"{x}.at")))
+            return f"flatten({paired(p, f'{before}.out', lambda x, b: each(f'{x}.out', lambda y: f'cast({merge(b, y)} as {kind})'))})"
 
-        return F.when(F.size(held) <= BLOCK, folded(held)["out"]).otherwise(let(parts, joined))
+        return f"CASE WHEN size({rows}) <= {BLOCK} THEN {folded(rows)}.out ELSE {held(parts, joined)} END"
 
-    return let(values, whole)
+    return held(values, whole)
 
 
-def places(text: Column, pattern: str, group: int = 0) -> Column:
+def places(text: str, pattern: str, group: int = 0) -> str:
     """All leftmost matches in order: start, end (exclusive), the match and one of its groups.
 
     Texts without a match cost one search. A null text has none.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
+    search = quoted(pattern)
+    hits, gaps = f"regexp_extract_all({text}, {search}, 0)", f"split({text}, {search}, -1)"
 
-    def sized(gap: Column, hit: Column, part: Column) -> Column:
-        return F.struct(F.length(gap).alias("c"), F.octet_length(gap).alias("b"), hit.alias("hit"), part.alias("part"))
+    def sized(gap: str, hit: str, part: str) -> str:
+        return f"named_struct('c', length({gap}), 'b', octet_length({gap}), 'hit', {hit}, 'part', {part})"
 
-    gaps = F.split(text, pattern, -1)
-    if parts is None:
-        pairs = F.zip_with(gaps, hits, lambda g, h: sized(g, h, h))
+    if group:
+        pairs = paired(gaps, f"arrays_zip({hits}, regexp_extract_all({text}, {search}, {group}))", lambda g, x: sized(g, f"{x}.`0`", f"{x}.`1`"))
     else:
-        pairs = F.zip_with(gaps, F.arrays_zip(hits.alias("h"), parts.alias("p")), lambda g, x: sized(g, x["h"], x["p"]))
+        pairs = paired(gaps, hits, lambda g, h: sized(g, h, h))
     # What stands after the last match is no pair.
-    pairs = F.filter(pairs, lambda x: x["hit"].isNotNull())
+    pairs = only(pairs, lambda x: f"{x}.hit IS NOT NULL")
 
-    def added(a: Column, c: Column, b: Column) -> Column:
-        return F.struct((a["c"] + c).alias("c"), (a["b"] + b).alias("b"))
+    def added(a: str, c: str, b: str) -> str:
+        return f"named_struct('c', {a}.c + {c}, 'b', {a}.b + {b})"
 
-    def found(held: Column) -> Column:
-        before = running(held, F.struct(F.lit(0).alias("c"), F.lit(0).alias("b")), lambda a, x: added(a, x["c"] + F.length(x["hit"]), x["b"] + F.octet_length(x["hit"])), lambda a, x: added(a, x["c"], x["b"]), "struct<c:int,b:int>")
+    def found(rows: str) -> str:
+        before = running(rows, "named_struct('c', 0, 'b', 0)", lambda a, x: added(a, f"{x}.c + length({x}.hit)", f"{x}.b + octet_length({x}.hit)"), lambda a, x: added(a, f"{x}.c", f"{x}.b"), "struct<c:int,b:int>")
 
-        def span(x: Column, at: Column) -> Column:
-            start, first = at["c"] + x["c"], at["b"] + x["b"]
-            return F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), first.alias("from"), (first + F.octet_length(x["hit"])).alias("to"), x["hit"].alias("hit"), x["part"].alias("part"))
+        def span(x: str, at: str) -> str:
+            start, first = f"{at}.c + {x}.c", f"{at}.b + {x}.b"
+            return f"named_struct('start', {start}, 'end', {start} + length({x}.hit), 'from', {first}, 'to', {first} + octet_length({x}.hit), 'hit', {x}.hit, 'part', {x}.part)"
 
-        return F.zip_with(held, before, span)
+        return paired(rows, before, span)
 
-    return F.when(text.rlike(pattern), let(pairs, found)).otherwise(F.array().cast(SPAN))
+    return f"CASE WHEN {text} RLIKE {search} THEN {held(pairs, found)} ELSE cast(array() as {SPAN}) END"
 
 
-def piece(raw: Column, first: Column, size: Column) -> Column:
+def piece(raw: str, first: str, size: str) -> str:
     """The text of so many bytes from a byte on; ``raw`` is binary."""
-    return F.substring(raw, first + 1, size).cast("string")
+    return f"cast(substring({raw}, {first} + 1, {size}) as string)"
 
 
 def listed(spans: Column, kind: str) -> Column:
