@@ -13,7 +13,8 @@ Cases: a null source is the source ``''``; a source without a weight has weight
 left out. Repeated rows are repeated alike. A row without an id goes by a hash of its source
 and, where there is one, its text, so such rows are drawn apart unless these are the same.
 An empty table gives an empty result. All
-columns stay; ``copy_no``, ``rate`` and ``mix_key`` replace columns of these names.
+columns stay, whatever their names; only in the result of ``mix``, ``copy_no``, ``rate`` and
+``mix_key`` replace columns of these names, while ``repeat`` gives the input's columns alone.
 """
 
 from __future__ import annotations
@@ -73,23 +74,41 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     return weighed.select("mix_source", (F.lit(target) * F.col("w") / F.lit(all_w) / F.col("n") if all_w > 0 else F.lit(0.0)).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: int | None = None, seed: int = 17) -> DataFrame:
-    """``docs`` with every row repeated to its source's rate and all rows shuffled."""
-    docs = docs.drop("copy_no", "rate", "mix_key", "mix_source")
-    rate = rates(docs, weights, alpha, size)
-    source, name = F.coalesce("source", F.lit("")), named(docs)
-    some = rate.limit(BROADCAST_SOURCES + 1).collect()
+def _free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no column has one of them."""
+    taken, mark = {c.lower() for c in columns}, ""
+    while any(f"{mark}{n}" in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
+def _repeated(docs: DataFrame, weights: dict[str, float] | None, alpha: float, size: int | None, seed: int) -> tuple[DataFrame, list[str]]:
+    """All columns of ``docs`` and, under the names given back, a copy's number, its source's rate and the key that copies are dealt by."""
+    names = _free(docs.columns, "mix_copy_no", "mix_rate", "mix_key", "mix_source", "mix_salt", "mix_copies")
+    copy_no, rate, key, source, salt, copies = names
+    own, name = F.coalesce("source", F.lit("")), named(docs)
+    few = rates(docs, weights, alpha, size).select(F.col("mix_source").alias(source), F.col("rate").alias(rate))
+    some = few.limit(BROADCAST_SOURCES + 1).collect()
     if len(some) <= BROADCAST_SOURCES:
-        small = docs.sparkSession.createDataFrame([(r["mix_source"], r["rate"]) for r in some], "mix_source string, rate double")
-        rated = docs.withColumn("mix_source", source).join(F.broadcast(small), "mix_source")
+        small = docs.sparkSession.createDataFrame([tuple(r) for r in some], few.schema)
+        rated = docs.withColumn(source, own).join(F.broadcast(small), source)
     else:
-        salt = F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")
-        spread = rate.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = docs.withColumn("mix_source", source).withColumn("mix_salt", salt).join(spread, ["mix_source", "mix_salt"]).drop("mix_salt")
-    copies = poisson(F.col("rate"), lambda j: uniform(F.lit(str(seed)), j.cast("string"), name))
-    many = rated.withColumn("mix_copies", copies).where("mix_copies > 0")
-    every = many.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col("copy_no").cast("string"), name)), 1, 16)
-    keyed = every.withColumn("mix_key", key)
-    shuffled = keyed.repartition("mix_key").sortWithinPartitions("mix_key")
-    return shuffled.select(*(F.col(f"`{c}`") for c in docs.columns), "copy_no", "rate", "mix_key")
+        spread = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = docs.withColumn(source, own).withColumn(salt, F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")).join(spread, [source, salt])
+    many = rated.withColumn(copies, poisson(F.col(rate), lambda j: uniform(F.lit(str(seed)), j.cast("string"), name))).where(F.col(copies) > 0)
+    every = many.withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    keyed = every.withColumn(key, F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col(copy_no).cast("string"), name)), 1, 16))
+    shuffled = keyed.repartition(key).sortWithinPartitions(key)
+    return shuffled, names[:3]
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: int | None = None, seed: int = 17) -> DataFrame:
+    """``docs`` with every row repeated to its source's rate and all rows shuffled, and ``copy_no, rate, mix_key``."""
+    out, names = _repeated(docs, weights, alpha, size, seed)
+    new = dict(zip(("copy_no", "rate", "mix_key"), names))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in new), *(F.col(n).alias(c) for c, n in new.items()))
+
+
+def repeat(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, size: int | None = None, seed: int = 17) -> DataFrame:
+    """The rows of ``mix`` with the columns of ``docs`` alone, all of them as they were."""
+    return _repeated(docs, weights, alpha, size, seed)[0].select(*(F.col(f"`{c}`") for c in docs.columns))

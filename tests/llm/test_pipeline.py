@@ -59,12 +59,25 @@ def test_stages_keep_odd_rows(spark, tmp_path):
     assert texts == {GOOD, None, "", "x" * 100_000 + " mail [EMAIL]", "no id, call [EMAIL]"}
     assert sorted(r["__pii_email"] or "" for r in clean.collect()) == sorted(r[9] or "" for r in rows)
     mixed = stages["mixing"](spark, docs, str(tmp_path))
-    assert [c for c, _ in mixed.dtypes] == docs.columns and {repr(tuple(r)) for r in mixed.drop("rate").collect()} <= {repr(tuple(r)) for r in docs.drop("rate").collect()}
+    assert [c for c, _ in mixed.dtypes] == docs.columns and {repr(tuple(r)) for r in mixed.collect()} <= {repr(tuple(r)) for r in docs.collect()}
     model = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     got = stages["sentencepiece"](spark, docs, str(tmp_path)).collect()
     assert sorted((repr(r["doc_id"]), r["ids"]) for r in got) == sorted((repr(r[0]), model.encode(r[1] or "")) for r in rows)
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    """Each name that mixing uses itself, in any case, comes back with its own values."""
+    names = ("mix_source", "mix_copies", "rate", "copy_no", "mix_key", "mix_salt", "mix_rate", "_mix_copies", "MIX_COPY_NO", "n")
+    for name in (*names, None):
+        some = names if name is None else (name,)
+        docs = spark.range(60).selectExpr("id AS doc_id", "concat('t', id) AS text", "if(id % 3 = 0, 'a', 'b') AS source", *(f"concat('{c} ', id) AS `{c}`" for c in some))
+        got = cp.mix_sources(spark, docs, "")
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert len(rows) > 30 and {tuple(r) for r in rows} <= {tuple(r) for r in docs.collect()}, name
+        assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in mixing.mix(docs.select("doc_id", "text", "source")).collect())
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame([], SCHEMA)
