@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows are repeated alike; rows without an id are drawn by their content. A null source is
     a source of its own.
     """
-    return mixing.mix(docs).select(*(f"`{c}`" for c in docs.columns))
+    return mixing.repeat(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
