@@ -74,29 +74,18 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_no int, chunk string")
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """``qid, vec_id, sim, rank``: the k most similar base vectors of every query, by cosine.
-
-    Both sides have ``vec_id`` and ``embedding``. They are dealt into blocks of about ``QUERY_BLOCK``
-    and ``BASE_BLOCK`` rows by hashes of their ids, and every pair of blocks meets once, in a group of
-    its own that gives the k best of its vectors for each of its queries; only these meet. Nothing goes
-    through the driver but the two counts.
-    """
-    n_queries, n_base = (max(1, -(-frame.count() // size)) for frame, size in ((queries, QUERY_BLOCK), (base, BASE_BLOCK)))
+def matrix(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The column ``v`` of equally long lists as a matrix."""
+    flat = rows.column("v")
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
 
-    def dealt(frame: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        rows = frame.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias(name), unit(F.col("embedding")).alias("v"))
-        return rows.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
-    asked, there = dealt(queries, "qid", "q", n_queries, "b", n_base), dealt(base, "vec_id", "b", n_base, "q", n_queries)
-    names = ["qid", "vec_id", "sim"]
+def best_of(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For groups of queries (``qid, v``) and vectors (``vec_id, v``): the k most similar vectors of each query."""
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        def matrix(rows: pa.Table) -> np.ndarray:
-            flat = rows.column("v").combine_chunks()
-            flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-            return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-
         schema = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("sim", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
@@ -109,7 +98,25 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
             out.append((np.repeat(part.column("qid").to_numpy(), order.shape[1]), ids[order].ravel(), np.take_along_axis(sims, order, 1).ravel()))
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
 
-    every = asked.groupBy("q", "b").cogroup(there.groupBy("q", "b")).applyInArrow(best, "qid long, vec_id long, sim double").select(*names)
+    return best
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
+    """``qid, vec_id, sim, rank``: the k most similar base vectors of every query, by cosine.
+
+    Both sides have ``vec_id`` and ``embedding``. They are dealt into blocks of about ``QUERY_BLOCK``
+    and ``BASE_BLOCK`` rows by hashes of their ids, and every pair of blocks meets once, in a group of
+    its own that gives the k best of its vectors for each of its queries; only these meet. Nothing goes
+    through the driver but the two counts.
+    """
+    n_queries, n_base = (max(1, -(-frame.count() // size)) for frame, size in ((queries, QUERY_BLOCK), (base, BASE_BLOCK)))
+
+    def dealt(frame: DataFrame, name: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        rows = frame.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias(name), unit(F.col("embedding")).alias("v"))
+        return rows.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    asked, there = dealt(queries, "qid", "q", n_queries, "b", n_base), dealt(base, "vec_id", "b", n_base, "q", n_queries)
+    every = asked.groupBy("q", "b").cogroup(there.groupBy("q", "b")).applyInArrow(best_of(k), "qid long, vec_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.numeric import rounded
 from ..operators import attempts, calls, chat, decay, errors, responses, retrieval, runs
+from ..operators.index import VectorIndex
 from ..sources import io
+from ..sources.shared import shared_folder
 from ..streaming import progress
 from . import derived, oracles
 
@@ -242,6 +245,13 @@ def vec_topk(spark, sf_dir):
     return _nearest(spark, sf_dir).select("qid", "vec_id", "rank")
 
 
+def vec_index_topk(spark, sf_dir):
+    """The rows of ``vec_topk`` by an index that is stored, and searched where it lies."""
+    base = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = VectorIndex.build(base, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return index.nearest(base.where("vec_id % 20 = 0")).select("qid", "vec_id", "rank")
+
+
 def rag_context(spark, sf_dir):
     found = retrieval.contexts(_nearest(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("qid", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("context_sha256"))
@@ -353,7 +363,7 @@ QUERIES: tuple[Query, ...] = (
     err_tracebacks, err_type, err_target_only, err_test_case, err_name_line, err_is_unittest, err_unittest_summary, err_prompt,
     resp_parse, resp_codellama, resp_stop_strings, call_signature, call_blocks, call_from_assert, call_uncast, call_unbracket, ident_sanitise,
     chat_history_k3, chat_messages, chat_system_prompt, chat_flat, chat_template, chat_dump, ft_records, ft_log_pairs,
-    vec_topk, rag_context, doc_chunks, text_wrap, name_allowed, model_tag, program_text,
+    vec_topk, vec_index_topk, rag_context, doc_chunks, text_wrap, name_allowed, model_tag, program_text,
     data_positions, data_keys, data_selection, data_projection, data_mapped, vec_embed, rag_answer, pull_progress, pull_interventions, chat_merged_system, chat_prompt_switch,
 )
 

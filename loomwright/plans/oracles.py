@@ -166,6 +166,7 @@ def retrieval_sql() -> dict[str, str]:
       r AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 3)"""
     return {
         "vec_topk": f"WITH {top} SELECT qid, vec_id, rank FROM r",
+        "vec_index_topk": f"WITH {top} SELECT qid, vec_id, rank FROM r",
         "rag_context": f"WITH {top}, c AS (SELECT qid, string_agg('- ' || text, chr(10) ORDER BY rank, text) AS x FROM r JOIN documents ON doc_id = vec_id GROUP BY qid) SELECT qid, length(x)::INT AS n_chars, sha256(x) AS context_sha256 FROM c",
     }
 
