@@ -18,7 +18,7 @@ from ..operators.index import VectorIndex
 from ..sources import io
 from ..sources.shared import shared_folder
 from ..streaming import progress
-from . import derived, oracles
+from . import arriving, derived, oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -369,8 +369,9 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in (*QUERIES, *arriving.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    sql = oracles.all_sql()
+    return sql | {name: sql[other] for name, other in arriving.SAME_AS.items()}
