@@ -8,16 +8,21 @@
    (five standard deviations below the expected one), so it is enough to list each class
    under its rarest values up to that part: two that share more still meet.
 3. Lists are worked off by hubs. A list's hub is the member whose values are most frequent;
-   every member that is likely to be similar to it is compared with it on full sets. That
-   gives links, and for each such member its difference from the hub: the shingles that only
-   one of the two has. Two members differ by what their differences don't share, so all pairs
-   of members near the same hub are decided exactly by their differences: a pair that isn't
-   linked through the hub must share more than half of one's difference, so differences get
-   inverted lists of their rarest shingles, and the test runs inside the join on these lists,
-   first against each list's member with the smallest difference, then across components.
-   Members that aren't near their list's hub meet the list's members of other components
-   whose sets have such a size that they can be similar: lists are parted by the logarithm of
-   the size. That join lets out only pairs that the sketches find likely. No list is capped.
+   every member that is likely to be similar to it, and every member of a list of more than
+   ``LIST_MEMBERS``, is compared with it on full sets. That gives links, and for each such
+   member its difference from the hub. Two members of a hub differ by what their differences
+   don't share, so all pairs of them are decided exactly by these. What more than half of a
+   hub's members have in their difference belongs to the hub alone, or to a text that all
+   others share; it is turned round, so differences are those from the core of the group.
+   Members so close to the core that this alone makes them similar are linked to the closest
+   one. Any other pair must share a part of their differences that is known for each member,
+   so differences get inverted lists of their rarest shingles, and the test runs inside the
+   join on these lists, first against each list's member with the smallest difference, then
+   across components. Documents that share a template and have texts of their own besides
+   have no shingles of their differences in common, so they meet nobody.
+   Members of shorter lists that weren't compared with their hub meet the list's members of
+   other components whose sets have such a size that they can be similar. That join lets out
+   only pairs that the sketches find likely. No list is capped.
 4. A pair's similarity is first estimated from the sketch of the union; likely pairs (4.5
    standard deviations of room) are confirmed on the full sets of the whole texts, by another
    hash than the one that made them candidates.
@@ -49,6 +54,8 @@ from .storage import Workspace, small_batches
 
 SKETCH = 64
 LISTED = 32
+#: Lists up to so many members are compared pair by pair, by their sketches; those of longer ones by their differences from the hub.
+LIST_MEMBERS = 64
 #: Partitions that a hub's members are dealt over at least.
 SALTS = 64
 #: Keys of the hash of candidates and of the one that confirms them.
@@ -104,11 +111,12 @@ def _may_reach(a: Column, b: Column, least: float) -> Column:
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b with n and sketch each) those that may be similar enough, by size and by estimate."""
+    """Of distinct pairs (a, b with n and sketch each) those of a ``long`` list and those that may be similar enough, by size and by estimate."""
     t = percent / 100
     least = t - 4.5 * math.sqrt(t * (1 - t) / SKETCH)
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return pairs.where(sizes & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least).select("a", "b")
+    near = sizes & _may_reach(F.col("sketch_a"), F.col("sketch_b"), least) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
+    return pairs.where(F.col("long") | near).select("a", "b")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -141,42 +149,53 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row: its near-duplicates' smallest id, and whether that is its own."""
     space = Workspace(docs.sparkSession)
     key = ["fa", "fb", "n_shingles"]
-    # A class is known by its set, so an id with several texts is in several classes.
-    every = space.keep("prints", prints(docs, width).withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64(*key))))
+    every = space.keep("prints", prints(docs, width))
+    known = every.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     first = F.min(F.struct("doc_id", "mark")).alias("first")
-    sketches = space.keep("sketches", every.where("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), first))
-
+    classes = known.groupBy(*key).agg(F.first("sketch").alias("sketch"), first)
+    # Written once, so a class keeps its number.
+    sketches = space.keep("sketches", classes.withColumn("class", F.monotonically_increasing_id()).withColumn("n", F.col("n_shingles")))
     lists = space.keep("lists", _lists(sketches, percent))
+    # Texts of one id belong together.
+    several = known.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
+    own = known.join(several, "doc_id").join(sketches.select(*key, "class"), key).select("doc_id", "class")
+    links = own.join(own.groupBy("doc_id").agg(F.min("class").alias("a")), "doc_id").where("class <> a").select("a", F.col("class").alias("b")).distinct()
+    joined = _classes_joined(docs, sketches, lists, links, space, width, percent)
+    roots = sketches.join(joined, F.col("class") == F.col("node"), "left").select(*key, "first.doc_id", F.coalesce("component", "class").alias("component"))
+    smallest = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = space.keep("ids", roots.join(smallest, "component").select(*key, "component_id"))
+    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "centred", "delta-lists", "open-1", "open-2", "far", "links-0", "links-1", "links-2", *(f"{x}-{k}" for k in range(3) for x in ("joined", "stars")))
+    out = every.select("doc_id", *key).join(ids, key, "left")
+    own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(own_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _classes_joined(docs: DataFrame, sketches: DataFrame, lists: DataFrame, links: DataFrame, space: Workspace, width: int, percent: int) -> DataFrame:
+    """``node, component`` of classes that are linked with others, by ``links`` and by the lists; steps without input are left out."""
+    none = sketches.sparkSession.createDataFrame([], "node long, component long")
+    if not lists.take(1):
+        return _joined(links, none, space, 0)
     likely = space.keep("listed", sketches.join(lists.select("class").distinct(), "class", "left_semi"))
     # One text of each listed class.
     texts = _marked(docs).join(likely.select("first.doc_id", "first.mark", "class"), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     texts = space.keep("texts", texts.select(F.col("class").alias("doc_id"), "text"))
-
     hubs = space.keep("hubs", _hubs(lists))
-    pairs = lists.join(hubs, "value").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    pairs = lists.join(hubs, "value").where("class <> hub").groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg((F.max("size") > LIST_MEMBERS).alias("long"))
     pairs = space.keep("pairs", _with_sketches(pairs, likely, percent))
     near = space.keep("near", compared(pairs, texts, width, percent))
-    links = near.where("linked").select("a", "b")
-    joined = space.keep("joined-0", components(links, space, "stars-0"))
-    lists_d = space.keep("delta-lists", _delta_lists(near, percent))
-    for turn, chosen_pairs in ((1, _to_smallest), (2, _across)):
-        open_ = space.keep(f"open-{turn}", _open(lists_d, joined))
-        more = space.keep(f"links-{turn}", chosen_pairs(open_, near, percent))
-        joined = _joined(more, joined, space, turn)
+    centred = space.keep("centred", _centred(near, percent))
+    links = space.keep("links-0", links.unionByName(near.where("linked").select("a", "b")).unionByName(_to_core(centred)).distinct())
+    joined = _joined(links, none, space, 0)
+    lists_d = space.keep("delta-lists", _delta_lists(centred, percent))
+    open_ = space.keep("open-1", _open(lists_d, joined))
+    if open_.take(1):
+        joined = _joined(space.keep("links-1", _to_smallest(open_, centred, percent)), joined, space, 1)
     far = space.keep("far", _far_pairs(lists, hubs, near, joined, likely, percent))
-    more = space.keep("links-3", compared(far, texts, width, percent).where("linked").select("a", "b"))
-    joined = _joined(more, joined, space, 3)
-    # Texts of one id belong together.
-    ids = every.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("doc_id", "a")
-    same = space.keep("same-id", every.join(ids, "doc_id").where("class <> a").select("a", F.col("class").alias("b")).distinct())
-    joined = _joined(same, joined, space, 4)
-    roots = sketches.join(joined, F.col("class") == F.col("node"), "left").select("class", "first.doc_id", F.coalesce("component", "class").alias("component"))
-    smallest = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = space.keep("ids", roots.join(smallest, "component").select("class", "component_id"))
-    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "delta-lists", "open-1", "open-2", "far", "links-1", "links-2", "links-3", "same-id", *(f"{x}-{k}" for k in range(5) for x in ("joined", "stars")))
-    out = every.select("doc_id", "n_shingles", "class").join(ids, "class", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    more = compared(far, texts, width, percent).where("linked").select("a", "b")
+    if open_.take(1):
+        open_ = space.keep("open-2", _open(lists_d, joined))
+        more = more.unionByName(_across(open_, centred, percent)) if open_.take(1) else more
+    return _joined(space.keep("links-2", more.distinct()), joined, space, 2)
 
 
 def _lists(sketches: DataFrame, percent: int) -> DataFrame:
@@ -194,9 +213,9 @@ def _lists(sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _hubs(lists: DataFrame) -> DataFrame:
-    """``value, hub``: of each list with two members or more, the one whose values are most frequent."""
-    top = lists.groupBy("value").agg(F.max(F.struct(F.col("weight"), F.bitwise_not("class").alias("other"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    return top.where("n > 1").select("value", F.bitwise_not("top.other").alias("hub"))
+    """``value, hub, size``: of each list with two members or more, the one whose values are most frequent, and how many they are."""
+    top = lists.groupBy("value").agg(F.max(F.struct(F.col("weight"), F.bitwise_not("class").alias("other"))).alias("top"), F.count(F.lit(1)).alias("size"))
+    return top.where("size > 1").select("value", F.bitwise_not("top.other").alias("hub"), "size")
 
 
 def _joined(links: DataFrame, joined: DataFrame, space: Workspace, turn: int) -> DataFrame:
@@ -207,42 +226,69 @@ def _joined(links: DataFrame, joined: DataFrame, space: Workspace, turn: int) ->
     return space.keep(f"joined-{turn}", components(graph, space, f"stars-{turn}"))
 
 
-def _delta_lists(near: DataFrame, percent: int) -> DataFrame:
-    """``hub, element, class, d, linked``: members near a hub under their difference's rarest shingles.
+def _centred(near: DataFrame, percent: int) -> DataFrame:
+    """``hub, class, n, delta, d, slack, most, best``: members of hubs by their difference from the core of the hub's group.
 
-    With sizes n and differences d from the hub, two members are similar enough if they share
-    ``(d_x + d_y - c (n_x + n_y)) / 2`` of these, c = (1 - t) / (1 + t). At least one of the two isn't
-    linked to the hub, so its d is above ``c (n + n_hub)``; a shared part is no larger than either
-    difference. The least that a member can share with any partner follows from these.
+    The hub is a member itself. Only hubs with a member that isn't linked to them are left. With sizes
+    n and differences d from anything, two sets are similar enough if ``(100 - p) (n_x + n_y)`` is no
+    less than ``(100 + p)`` times what only one of them has, which is ``d_x + d_y`` less twice what the
+    differences share. ``slack`` is a member's part of that without the shared ones, ``best`` the
+    member with the most.
     """
-    t = percent / 100
-    c = (1 - t) / (1 + t)
+    rows = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "linked", "delta")
+    open_ = rows.groupBy("hub").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("size"), F.first("n_hub").alias("n")).where("NOT all_linked AND size > 1")
+    # What more than half of the members have; its elements are twice as many as an average difference at most.
+    often = rows.select("hub", F.explode("delta").alias("element")).groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"))
+    core = often.join(open_.select("hub", "size"), "hub").where("2 * df > size + 1").groupBy("hub").agg(F.collect_list("element").alias("core"))
+    spread = open_.join(core, "hub", "left").select("hub", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
+    # A hub may have very many members: they are dealt over several partitions, each of which gets the hub's row.
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = open_.select("hub", F.col("hub").alias("class"), "n", F.array().cast("array<long>").alias("delta"))
+    salted = rows.select("hub", "class", "n", "delta").unionByName(own).withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(spread, ["hub", "salt"])
+    turned = salted.select("hub", "salt", "class", "n", F.concat(F.array_except("delta", "core"), F.array_except("core", "delta")).alias("delta"))
     d = F.size("delta")
-    rows = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "linked", "delta").where(d > 0)
-    # Hubs whose members are all linked to them have nothing left to decide.
-    open_ = rows.groupBy("hub").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("size")).where("NOT all_linked AND size > 1").select("hub")
-    # A hub may have very many members: they are dealt over several partitions, each of which gets the hub's number.
-    spread = open_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod("class", F.lit(SALTS)).cast("int")).join(spread, ["hub", "salt"]).drop("salt").withColumn("d", d)
-    # A little less than the bound, for the rounding of c.
-    least = F.when(F.col("linked"), (d + c * (F.col("n_hub") - F.col("n"))) / 2).otherwise(d - F.col("n") * (1 - t) / t) - 1e-6
-    room = d - F.greatest(F.ceil(least), F.lit(1)) + 1
+    sized = turned.withColumn("d", d).withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * d)
+    most = sized.groupBy("hub").agg(F.max(F.struct("slack", "class")).alias("x")).select("hub", F.col("x.slack").alias("most"), F.col("x.class").alias("best"))
+    most = most.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return sized.join(most, ["hub", "salt"]).drop("salt")
+
+
+def _to_core(centred: DataFrame) -> DataFrame:
+    """Links of the members that are similar to the closest one by their distances from the core alone."""
+    return centred.where("slack + most >= 0 AND class <> best").select(F.col("best").alias("a"), F.col("class").alias("b"))
+
+
+def _delta_lists(centred: DataFrame, percent: int) -> DataFrame:
+    """``hub, element, class, d, close``: members of hubs under their difference's rarest shingles.
+
+    ``close`` members are linked to the closest one, so of a pair that is still open one isn't close. Two
+    must share ``-(slack_x + slack_y) / (2 (100 + p))`` elements; that a partner's slack is no more than the
+    most there is, or less than its negative where it isn't close itself, gives the least that a member
+    can share with any partner. A shared part is also no less than the difference without all that the
+    member and a similar set can differ by.
+    """
+    t, per = percent / 100, 2 * (100 + percent)
+    close = F.col("slack") + F.col("most") >= 0
+    rows = centred.withColumn("close", close).where("d > 0")
+    least = F.when(F.col("close"), (F.col("most") - F.col("slack")) / per).otherwise(F.greatest(-(F.col("slack") + F.col("most")) / per, F.col("d") - F.col("n") * (1 - t) / t))
+    # A little less than the bound, for the rounding of it.
+    room = F.col("d") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1
     elements = rows.select("hub", "class", F.explode("delta").alias("element"))
     often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = elements.join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("found"))
-    sized = found.join(rows.select("hub", "class", "d", "linked", room.alias("room")), ["hub", "class"]).withColumn("room", F.col("room") - (F.col("d") - F.size("found"))).where("room > 0")
-    return sized.select("hub", "class", "d", "linked", F.explode(F.slice("found", 1, F.col("room").cast("int"))).alias("x")).select("hub", "class", "d", "linked", F.col("x.element").alias("element"))
+    sized = found.join(rows.select("hub", "class", "d", "close", room.alias("room")), ["hub", "class"]).withColumn("room", F.col("room") - (F.col("d") - F.size("found"))).where("room > 0")
+    return sized.select("hub", "class", "d", "close", F.explode(F.slice("found", 1, F.col("room").cast("int"))).alias("x")).select("hub", "class", "d", "close", F.col("x.element").alias("element"))
 
 
 def _open(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """The lists that still have several components and a member that isn't linked to the hub, with components."""
+    """The lists that still have several components and a member that isn't close, with components."""
     now = lists.join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-    some = now.groupBy("hub", "element").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("linked").alias("all_linked")).where("x <> y AND NOT all_linked").select("hub", "element")
+    some = now.groupBy("hub", "element").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("close").alias("all_close")).where("x <> y AND NOT all_close").select("hub", "element")
     return now.join(some, ["hub", "element"])
 
 
 def _apart() -> Column:
-    """How many shingles only one of two members has, by their differences from the same hub."""
+    """How many shingles only one of two members has, by their differences from the same core."""
     return F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
 
 
@@ -251,26 +297,26 @@ def _similar(percent: int) -> Column:
     return 100 * (n - _apart()) >= percent * (n + _apart())
 
 
-def _sides(near: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = {side: near.select(F.col("a").alias("hub"), F.col("b").alias(f"class_{side}"), F.col("n_b").alias(f"n_{side}"), F.col("delta").alias(f"delta_{side}")) for side in "ab"}
+def _sides(centred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    own = {side: centred.select("hub", F.col("class").alias(f"class_{side}"), F.col("n").alias(f"n_{side}"), F.col("delta").alias(f"delta_{side}")) for side in "ab"}
     return own["a"], own["b"]
 
 
-def _to_smallest(lists: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+def _to_smallest(lists: DataFrame, centred: DataFrame, percent: int) -> DataFrame:
     """Links between each list's member with the smallest difference and its members of other components."""
-    first = lists.groupBy("hub", "element").agg(F.min(F.struct("d", "class", "component", "linked")).alias("x")).select("hub", "element", F.col("x.class").alias("class_a"), F.col("x.component").alias("component_a"), F.col("x.linked").alias("linked_a"))
-    pairs = lists.join(first, ["hub", "element"]).where("component <> component_a AND NOT (linked AND linked_a)").select("hub", "class_a", F.col("class").alias("class_b")).distinct()
-    one, two = _sides(near)
+    first = lists.groupBy("hub", "element").agg(F.min(F.struct("d", "class", "component", "close")).alias("x")).select("hub", "element", F.col("x.class").alias("class_a"), F.col("x.component").alias("component_a"), F.col("x.close").alias("close_a"))
+    pairs = lists.join(first, ["hub", "element"]).where("component <> component_a AND NOT (close AND close_a)").select("hub", "class_a", F.col("class").alias("class_b")).distinct()
+    one, two = _sides(centred)
     held = pairs.join(two, ["hub", "class_b"]).join(one, ["hub", "class_a"]).where(_similar(percent))
     return held.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def _across(lists: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, centred: DataFrame, percent: int) -> DataFrame:
     """Links between any two members of a list in different components; the test runs inside the join."""
-    one, two = _sides(near)
-    slim = {side: lists.select("hub", "element", *(F.col(x).alias(f"{x}_{side}") for x in ("class", "linked", "component"))) for side in "ab"}
+    one, two = _sides(centred)
+    slim = {side: lists.select("hub", "element", *(F.col(x).alias(f"{x}_{side}") for x in ("class", "close", "component"))) for side in "ab"}
     one, two = slim["a"].join(one, ["hub", "class_a"]), slim["b"].join(two, ["hub", "class_b"])
-    open_ = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & ~(F.col("linked_a") & F.col("linked_b"))
+    open_ = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & ~(F.col("close_a") & F.col("close_b"))
     pairs = one.join(two, (one["hub"] == two["hub"]) & (one["element"] == two["element"]) & open_ & _similar(percent))
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
@@ -282,7 +328,7 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 
 def _far_pairs(lists: DataFrame, hubs: DataFrame, near: DataFrame, joined: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components of a list where one of the two isn't near the list's hub."""
+    """Likely pairs across components of a list where one of the two wasn't compared with the list's hub; no such list is long."""
     t = percent / 100
     least = t - 4.5 * math.sqrt(t * (1 - t) / SKETCH)
     known = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.lit(True).alias("near"))

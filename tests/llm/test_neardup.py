@@ -128,3 +128,33 @@ def test_components(spark):
     nodes = {x for pair in links for x in pair}
     assert {r["node"]: r["component"] for r in got.collect()} == smallest(nodes, links)
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark), "none").count() == 0
+
+
+@pytest.mark.parametrize("own", [8, 14, 60])
+def test_documents_of_one_template(spark, monkeypatch, own):
+    """A long common part and texts of their own, some with a near copy; every list counts as a long one, and few pairs meet."""
+    monkeypatch.setattr(neardup, "LIST_MEMBERS", 2)
+    rng = random.Random(own)
+    vocabulary = [f"w{k}" for k in range(9000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    common, section, rows = text(110), text(12), []
+    for k in range(150):
+        mine = text(own) + (section if k % 2 else [])
+        rows.append(" ".join(common + mine))
+        if k % 10 == 0:
+            mine[rng.randrange(own)] = "changed"
+            rows.append(" ".join(common + mine))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    tried = []
+    across = neardup._across
+
+    def counted(lists, centred, percent):
+        sizes = lists.groupBy("hub", "element").count().collect()
+        tried.append(sum(r["count"] ** 2 for r in sizes))
+        return across(lists, centred, percent)
+
+    monkeypatch.setattr(neardup, "_across", counted)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+    assert sum(tried) < 20 * len(rows)
