@@ -18,7 +18,7 @@
    one. Any other pair must share a part of their differences that is known for each member,
    so differences get inverted lists of their rarest shingles, and the test runs inside the
    join on these lists, first against each list's member with the smallest difference, then
-   across components. Documents that share a template and have texts of their own besides
+   across components; a long list is a group with a core of its own once more. Documents that share a template and have texts of their own besides
    have no shingles of their differences in common, so they meet nobody.
    Members of shorter lists that weren't compared with their hub meet the list's members of
    other components whose sets have such a size that they can be similar. That join lets out
@@ -56,6 +56,8 @@ SKETCH = 64
 LISTED = 32
 #: Lists up to so many members are compared pair by pair, by their sketches; those of longer ones by their differences from the hub.
 LIST_MEMBERS = 64
+#: How often a long list of a group becomes a group itself.
+DEEPEST = 4
 #: Partitions that a hub's members are dealt over at least.
 SALTS = 64
 #: Keys of the hash of candidates and of the one that confirms them.
@@ -164,7 +166,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     roots = sketches.join(joined, F.col("class") == F.col("node"), "left").select(*key, "first.doc_id", F.coalesce("component", "class").alias("component"))
     smallest = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = space.keep("ids", roots.join(smallest, "component").select(*key, "component_id"))
-    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "centred", "delta-lists", "open-1", "open-2", "far", "links-0", "links-1", "links-2", *(f"{x}-{k}" for k in range(3) for x in ("joined", "stars")))
+    steps = range(DEEPEST + 4)
+    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "far", "links-far", *(f"{x}-{k}" for k in steps for x in ("joined", "stars", "links", "centred", "delta-lists", "open", "left", "across")))
     out = every.select("doc_id", *key).join(ids, key, "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(own_id == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -183,19 +186,55 @@ def _classes_joined(docs: DataFrame, sketches: DataFrame, lists: DataFrame, link
     pairs = lists.join(hubs, "value").where("class <> hub").groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg((F.max("size") > LIST_MEMBERS).alias("long"))
     pairs = space.keep("pairs", _with_sketches(pairs, likely, percent))
     near = space.keep("near", compared(pairs, texts, width, percent))
-    centred = space.keep("centred", _centred(near, percent))
+    centred = space.keep("centred-0", _centred(_around_hubs(near), percent))
     links = space.keep("links-0", links.unionByName(near.where("linked").select("a", "b")).unionByName(_to_core(centred)).distinct())
     joined = _joined(links, none, space, 0)
-    lists_d = space.keep("delta-lists", _delta_lists(centred, percent))
-    open_ = space.keep("open-1", _open(lists_d, joined))
-    if open_.take(1):
-        joined = _joined(space.keep("links-1", _to_smallest(open_, centred, percent)), joined, space, 1)
+    more, turn = _links_of_lists(centred, joined, space, percent)
+    joined = _joined(more, joined, space, turn)
     far = space.keep("far", _far_pairs(lists, hubs, near, joined, likely, percent))
-    more = compared(far, texts, width, percent).where("linked").select("a", "b")
-    if open_.take(1):
-        open_ = space.keep("open-2", _open(lists_d, joined))
-        more = more.unionByName(_across(open_, centred, percent)) if open_.take(1) else more
-    return _joined(space.keep("links-2", more.distinct()), joined, space, 2)
+    more = space.keep("links-far", compared(far, texts, width, percent).where("linked").select("a", "b"))
+    return _joined(more, joined, space, turn + 1)
+
+
+def _links_of_lists(centred: DataFrame, joined: DataFrame, space: Workspace, percent: int) -> tuple[DataFrame, int]:
+    """All links of centred groups that their lists give and that join what isn't joined, and the number of the next step.
+
+    Members of a long list have something in common that others of the group don't have, so the list
+    is a group with a core of its own. After ``DEEPEST`` such steps what is left is met pair by pair.
+    """
+    none = joined.sparkSession.createDataFrame([], "a long, b long")
+    found = none
+    for turn in range(1, DEEPEST + 2):
+        lists = space.keep(f"delta-lists-{turn}", _delta_lists(centred, percent))
+        open_ = space.keep(f"open-{turn}", _open(lists, joined))
+        if not open_.take(1):
+            return found, turn
+        links = space.keep(f"links-{turn}", found.unionByName(_to_smallest(open_, centred, percent)).distinct())
+        joined, found = _joined(links, joined, space, turn), none
+        open_ = space.keep(f"left-{turn}", _open(lists, joined))
+        if not open_.take(1):
+            return found, turn + 1
+        long = _long_lists(open_)
+        deeper = turn <= DEEPEST and bool(long.take(1))
+        short = open_.join(_sizes(open_).where(F.col("size") <= LIST_MEMBERS).select("hub", "element"), ["hub", "element"]) if deeper else open_
+        found = space.keep(f"across-{turn}", _across(short, centred, percent))
+        if not deeper:
+            return found, turn + 1
+        members = open_.join(long, ["hub", "element"]).select("hub", "element", "class").join(centred.select("hub", "class", "n", "delta"), ["hub", "class"])
+        centred = space.keep(f"centred-{turn}", _centred(members.select(F.xxhash64("hub", "element").alias("hub"), "class", "n", "delta"), percent))
+        found = found.unionByName(_to_core(centred))
+    raise AssertionError("the last step goes no deeper")
+
+
+def _sizes(lists: DataFrame) -> DataFrame:
+    """``hub, element, size`` of lists, and two sums that tell which members they have."""
+    sums = [F.sum(F.xxhash64("class", F.lit(k)).cast("decimal(38,0)")).alias(f"sum_{k}") for k in (1, 2)]
+    return lists.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("size"), *sums)
+
+
+def _long_lists(lists: DataFrame) -> DataFrame:
+    """``hub, element`` of lists with more than ``LIST_MEMBERS``; of lists with the same members one."""
+    return _sizes(lists).where(F.col("size") > LIST_MEMBERS).groupBy("hub", "size", "sum_1", "sum_2").agg(F.min("element").alias("element")).select("hub", "element")
 
 
 def _lists(sketches: DataFrame, percent: int) -> DataFrame:
@@ -226,25 +265,31 @@ def _joined(links: DataFrame, joined: DataFrame, space: Workspace, turn: int) ->
     return space.keep(f"joined-{turn}", components(graph, space, f"stars-{turn}"))
 
 
-def _centred(near: DataFrame, percent: int) -> DataFrame:
-    """``hub, class, n, delta, d, slack, most, best``: members of hubs by their difference from the core of the hub's group.
+def _around_hubs(near: DataFrame) -> DataFrame:
+    """``hub, class, n, delta``: the groups of hubs with a member that isn't linked to them; the hub is a member itself."""
+    open_ = near.groupBy("a").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("size"), F.first("n_a").alias("n")).where("NOT all_linked AND size > 1")
+    # A hub may have very many members: they are dealt over several partitions, each of which gets the hub's row.
+    spread = open_.select("a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(spread, ["a", "salt"])
+    own = open_.select(F.col("a").alias("hub"), F.col("a").alias("class"), "n", F.array().cast("array<long>").alias("delta"))
+    return rows.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.col("n_b").alias("n"), "delta").unionByName(own)
+
 
-    The hub is a member itself. Only hubs with a member that isn't linked to them are left. With sizes
-    n and differences d from anything, two sets are similar enough if ``(100 - p) (n_x + n_y)`` is no
-    less than ``(100 + p)`` times what only one of them has, which is ``d_x + d_y`` less twice what the
-    differences share. ``slack`` is a member's part of that without the shared ones, ``best`` the
+def _centred(rows: DataFrame, percent: int) -> DataFrame:
+    """``hub, class, n, delta, d, slack, most, best``: members of groups by their difference from the core of the group.
+
+    With sizes n and differences d from anything, two sets are similar enough if ``(100 - p) (n_x + n_y)``
+    is no less than ``(100 + p)`` times what only one of them has, which is ``d_x + d_y`` less twice what
+    the differences share. ``slack`` is a member's part of that without the shared ones, ``best`` the
     member with the most.
     """
-    rows = near.select(F.col("a").alias("hub"), F.col("b").alias("class"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "linked", "delta")
-    open_ = rows.groupBy("hub").agg(F.min("linked").alias("all_linked"), F.count(F.lit(1)).alias("size"), F.first("n_hub").alias("n")).where("NOT all_linked AND size > 1")
-    # What more than half of the members have; its elements are twice as many as an average difference at most.
+    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    # What more than half of the members have; these elements are no more than twice an average difference.
     often = rows.select("hub", F.explode("delta").alias("element")).groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"))
-    core = often.join(open_.select("hub", "size"), "hub").where("2 * df > size + 1").groupBy("hub").agg(F.collect_list("element").alias("core"))
-    spread = open_.join(core, "hub", "left").select("hub", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
-    # A hub may have very many members: they are dealt over several partitions, each of which gets the hub's row.
+    core = often.join(sizes, "hub").where("2 * df > size").groupBy("hub").agg(F.collect_list("element").alias("core"))
+    spread = sizes.join(core, "hub", "left").select("hub", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = open_.select("hub", F.col("hub").alias("class"), "n", F.array().cast("array<long>").alias("delta"))
-    salted = rows.select("hub", "class", "n", "delta").unionByName(own).withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(spread, ["hub", "salt"])
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(spread, ["hub", "salt"])
     turned = salted.select("hub", "salt", "class", "n", F.concat(F.array_except("delta", "core"), F.array_except("core", "delta")).alias("delta"))
     d = F.size("delta")
     sized = turned.withColumn("d", d).withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * d)
