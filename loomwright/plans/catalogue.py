@@ -18,7 +18,7 @@ from ..operators.index import VectorIndex
 from ..sources import io
 from ..sources.shared import shared_folder
 from ..streaming import progress
-from . import arriving, derived, oracles
+from . import arriving, derived, oracles, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -369,9 +369,9 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (*QUERIES, *arriving.QUERIES)}
+    return {q.__name__: q for q in (*QUERIES, *arriving.QUERIES, *stored.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = oracles.all_sql()
+    sql = oracles.all_sql() | stored.SQL
     return sql | {name: sql[other] for name, other in arriving.SAME_AS.items()}
