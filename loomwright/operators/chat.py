@@ -114,3 +114,23 @@ def conversation_messages(turns: DataFrame) -> DataFrame:
     """``conv_id, messages``: each conversation's turns in order."""
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     return turns.groupBy("conv_id").agg(rows.alias("rows")).select("conv_id", F.transform("rows", lambda r: message(r["role"], r["text"])).cast(MESSAGES).alias("messages"))
+
+
+#: Turns that make one piece of a rendered conversation.
+PIECE = 1000
+
+
+def rendered_pieces(turns: DataFrame, start: str = "", add_prompt: bool = False) -> DataFrame:
+    """``conv_id, piece, text``: conversations in the default template, in pieces of up to ``PIECE`` numbers of turns.
+
+    The pieces in their order, one after the other, are what ``templated`` gives for the whole
+    conversation; no task holds more of it than one piece.
+    """
+    numbered = turns.withColumn("piece", F.floor(F.coalesce("turn", F.lit(0)) / PIECE).cast("long"))
+    ends = numbered.groupBy("conv_id").agg(F.min("piece").alias("first"), F.max("piece").alias("last"))
+    rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    held = numbered.groupBy("conv_id", "piece").agg(rows.alias("rows")).join(ends, "conv_id")
+    body = templated(F.transform("rows", lambda r: message(r["role"], r["text"])).cast(MESSAGES))
+    head = F.when(F.col("piece") == F.col("first"), start).otherwise("")
+    tail = F.when(F.col("piece") == F.col("last"), PROMPT_END if add_prompt else "").otherwise("")
+    return held.select("conv_id", "piece", F.concat(head, body, tail).alias("text"))

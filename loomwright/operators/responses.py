@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import strip
 
@@ -75,3 +76,29 @@ def log_pairs(log: Column, question: str, answer: str, drop_last: int = 5, most:
     n = F.least(F.size(asked), F.size(told), F.lit(most))
     pairs = F.arrays_zip(F.slice(asked, F.lit(1), n).alias("question"), F.slice(told, F.lit(1), n).alias("answer"))
     return F.transform(pairs, lambda p: F.struct(p["question"].alias("question"), F.substring(p["answer"], F.lit(1), F.greatest(F.length(p["answer"]) - drop_last, F.lit(0))).alias("answer")))
+
+
+#: Turns whose places are counted together, and blocks whose counts are.
+BLOCK = 1000
+
+
+def _numbered(turns: DataFrame, role: str) -> DataFrame:
+    """``conv_id, k, text``: the turns of a role with their numbers in the conversation, counted by blocks of turns and blocks of these."""
+    own = turns.where(F.col("role") == role).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    counts = own.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("top", F.floor(F.col("block") / BLOCK))
+    before = lambda *by: Window.partitionBy("conv_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    tops = counts.groupBy("conv_id", "top").agg(F.sum("n").alias("n"))
+    tops = tops.select("conv_id", "top", F.coalesce(F.sum("n").over(before("top")), F.lit(0)).alias("above"))
+    offsets = counts.withColumn("inner", F.coalesce(F.sum("n").over(before("top", "block")), F.lit(0))).join(tops, ["conv_id", "top"]).select("conv_id", "block", (F.col("above") + F.col("inner")).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "text"))
+    return own.withColumn("place", place).join(offsets, ["conv_id", "block"]).select("conv_id", (F.col("offset") + F.col("place") - 1).alias("k"), "text")
+
+
+def paired_turns(turns: DataFrame) -> DataFrame:
+    """``conv_id, k, question, answer``: the k-th question of each conversation with its k-th answer, all of them.
+
+    What ``log_pairs`` does for a log's text, for its turns: no conversation is gathered, and one of
+    any length is spread over tasks by blocks of its turns. Turns that tie are ordered by their texts.
+    """
+    asked, told = (_numbered(turns, role).withColumnRenamed("text", name) for role, name in (("user", "question"), ("assistant", "answer")))
+    return asked.join(told, ["conv_id", "k"])

@@ -348,6 +348,34 @@ def pull_interventions(spark, sf_dir):
     return progress.interventions(_pulls(spark, sf_dir), [30.0, 60.0, 90.0]).select("model", "intervention", "target", rounded(F.col("actual"), 6).alias("actual"))
 
 
+def _told(spark, sf_dir):
+    """Downloads whose end is told now and then, in the order of time."""
+    return _pulls(spark, sf_dir).withColumn("status", F.when(F.col("completed") >= 985 * 1048576, "success").otherwise(F.col("status")))
+
+
+def pull_rounds(spark, sf_dir):
+    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c})").alias(c)
+    return progress.rounds(_told(spark, sf_dir), "1 hour").select("model", micros("began"), micros("ended"), "n", rounded(F.col("top"), 6).alias("top"), "done")
+
+
+def pull_retries(spark, sf_dir):
+    return progress.retried(progress.rounds(_told(spark, sf_dir), "1 hour")).select("model", "outcome", "rounds", rounded(F.col("top"), 6).alias("top"))
+
+
+def pull_fallback(spark, sf_dir):
+    events = _told(spark, sf_dir)
+    return progress.fallback(events, progress.interventions(events, [30.0, 60.0, 90.0]), 7200)
+
+
+def chat_template_pieces(spark, sf_dir):
+    """The default template in pieces; these conversations are short, so each has one."""
+    return chat.rendered_pieces(spark.read.parquet(f"{sf_dir}/conversations.parquet"), add_prompt=True)
+
+
+def ft_pairs_all(spark, sf_dir):
+    return responses.paired_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def chat_merged_system(spark, sf_dir):
     merged = chat.merged_system(F.lit(SYSTEM), F.col("messages"))
     return _conversations(spark, sf_dir).select("conv_id", F.size(merged).alias("n"), F.get(merged, F.lit(0))["content"].alias("first"))
@@ -364,7 +392,7 @@ QUERIES: tuple[Query, ...] = (
     resp_parse, resp_codellama, resp_stop_strings, call_signature, call_blocks, call_from_assert, call_uncast, call_unbracket, ident_sanitise,
     chat_history_k3, chat_messages, chat_system_prompt, chat_flat, chat_template, chat_dump, ft_records, ft_log_pairs,
     vec_topk, vec_index_topk, rag_context, doc_chunks, text_wrap, name_allowed, model_tag, program_text,
-    data_positions, data_keys, data_selection, data_projection, data_mapped, vec_embed, rag_answer, pull_progress, pull_interventions, chat_merged_system, chat_prompt_switch,
+    data_positions, data_keys, data_selection, data_projection, data_mapped, vec_embed, rag_answer, pull_progress, pull_interventions, pull_rounds, pull_retries, pull_fallback, chat_template_pieces, ft_pairs_all, chat_merged_system, chat_prompt_switch,
 )
 
 

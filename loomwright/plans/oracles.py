@@ -154,6 +154,9 @@ def chat_sql() -> dict[str, str]:
         "chat_template": f"SELECT conv_id, string_agg({turn}, '' ORDER BY turn) FILTER (trim(text) <> '') || chr(10) || chr(10) || 'Assistant:' AS text FROM conversations GROUP BY conv_id",
         "chat_dump": f"SELECT conv_id, '{system}' || chr(10) || chr(10) || string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id",
         "ft_records": f"WITH {qa} SELECT conv_id, turn, '<s>### Instruction:' || chr(10) || question || chr(10) || '### Response: ' || answer || '</s>' AS text FROM qa",
+        "chat_template_pieces": f"SELECT conv_id, 0 AS piece, string_agg(CASE WHEN trim(text) <> '' THEN {turn} ELSE '' END, '' ORDER BY turn, role, text) || chr(10) || chr(10) || 'Assistant:' AS text FROM conversations GROUP BY conv_id",
+        "ft_pairs_all": """WITH n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) - 1 AS k FROM conversations)
+          SELECT q.conv_id, q.k, q.text AS question, a.text AS answer FROM n q JOIN n a ON q.conv_id = a.conv_id AND q.k = a.k AND q.role = 'user' AND a.role = 'assistant'""",
         "ft_log_pairs": """WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
           a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
           SELECT conv_id, (k - 1)::INT AS k, replace(u.text, chr(10), ' ') || '-----' AS question, replace(a.text, chr(10), ' ') AS answer FROM u JOIN a USING (conv_id, k) WHERE k <= 50""",
@@ -178,6 +181,10 @@ def sources_sql() -> dict[str, str]:
     reached = """({before} SELECT model, {n} AS intervention, {t}::DOUBLE AS target, min(happened) AS happened, arg_min(pct, happened) AS actual FROM p{since} WHERE pct >= {t}{after} GROUP BY model)"""
     first = reached.format(before="", n=1, t=30, since="", after="")
     second = reached.format(before="", n=2, t=60, since=" JOIN (SELECT model, happened AS since FROM i1) USING (model)", after=" AND happened > since")
+    told = f"t AS (SELECT model, CASE WHEN completed >= 985 * 1048576 THEN 'success' ELSE status END AS status, completed, total, happened FROM ({derived.PULLS}))"
+    rounds = f"""{told}, g AS (SELECT *, CASE WHEN happened - lag(happened) OVER (PARTITION BY model ORDER BY happened) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM t),
+      h AS (SELECT *, sum(fresh) OVER (PARTITION BY model ORDER BY happened ROWS UNBOUNDED PRECEDING) AS k FROM g),
+      rounds AS (SELECT model, min(happened) AS began, max(happened) AS ended, count(*) AS n, max(completed::DOUBLE / total * 100) AS top, bool_or(status = 'success') AS done FROM h GROUP BY model, k)"""
     third = reached.format(before="", n=3, t=90, since=" JOIN (SELECT model, happened AS since FROM i2) USING (model)", after=" AND happened > since")
     top = retrieval_sql()["rag_context"].replace("length(x)::INT AS n_chars, sha256(x) AS context_sha256", "x")
     return {
@@ -189,6 +196,15 @@ def sources_sql() -> dict[str, str]:
         "vec_embed": f"SELECT doc_id, {embedding} AS embedding FROM documents",
         "rag_answer": f"SELECT qid // 20 AS qid, CASE WHEN (qid // 20) % 2 = 1 THEN {_text(NO_ANSWER)} ELSE 'characters: ' || length(x) END AS answer FROM ({top})",
         "pull_progress": f"WITH p AS ({derived.PULLS}) SELECT model, arg_max(status, happened) AS status, round(arg_max(completed, happened)::DOUBLE / arg_max(total, happened) * 100, 6) AS percent, round(arg_max(completed, happened)::DOUBLE / 1048576, 6) AS mb FROM p GROUP BY model",
+        "pull_rounds": f"WITH {rounds} SELECT model, epoch_us(began) AS began, epoch_us(ended) AS ended, n, round(top, 6) AS top, done FROM rounds",
+        "pull_retries": f"""WITH {rounds}, m AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY began) AS k FROM rounds)
+          SELECT model, CASE WHEN count(*) FILTER (done) > 0 THEN 'pulled' WHEN max(k) >= 10 THEN 'failed' ELSE 'open' END AS outcome,
+          (CASE WHEN count(*) FILTER (done) > 0 THEN min(k) FILTER (done) ELSE max(k) END)::INT AS rounds, round(max(top), 6) AS top FROM m WHERE k <= 10 GROUP BY model""",
+        "pull_fallback": f"""WITH {told}, p AS (SELECT model, happened, completed::DOUBLE / total * 100 AS pct FROM t), i1 AS {first}, i2 AS {second}, i3 AS {third},
+          s AS (SELECT model, max(happened) AS since FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3) GROUP BY model),
+          b AS (SELECT model, coalesce(since, min(happened)) AS since FROM t LEFT JOIN s USING (model) GROUP BY model, since),
+          r AS (SELECT model, floor((epoch_us(min(happened)) - epoch_us(since)) / 7200e6)::INT + 1 AS round FROM t JOIN b USING (model) WHERE status = 'success' AND happened >= since GROUP BY model, since)
+          SELECT b.model, coalesce(round <= 10, false) AS pulled, CASE WHEN round <= 10 THEN round END AS round FROM b LEFT JOIN r USING (model)""",
         "pull_interventions": f"WITH p AS (SELECT model, happened, completed::DOUBLE / total * 100 AS pct FROM ({derived.PULLS})), i1 AS {first}, i2 AS {second}, i3 AS {third} SELECT model, intervention, target, round(actual, 6) AS actual FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3)",
         "chat_merged_system": f"SELECT conv_id, count(*)::INT AS n, '{system}' || chr(10) || chr(10) || arg_min(text, turn) AS first FROM conversations GROUP BY conv_id",
         "chat_prompt_switch": f"WITH r AS ({derived.RUNS}) SELECT task, attempt, CASE WHEN attempt > 0 THEN 'Mend the program.' ELSE 'Write the program.' END AS prompt FROM r",
