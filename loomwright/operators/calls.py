@@ -1,6 +1,6 @@
 """Calls and code blocks of Python source: what needs a parser runs in Arrow-batched functions.
 
-Values in calls are read as literals only; nothing in the data is ever evaluated.
+Values in calls are found by folding constants (``fold``); nothing in the data is ever evaluated.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fold import NoValue, UnknownName, value_of
+
 OPEN, CLOSE = "([{", ")]}"
 # Fixed value: what a call looks like.
 CALL = re.compile(r"(\w+)\s*\((.*)\)")
-#: A name's call, as an argument.
-INSTANCE = re.compile(r"([A-Za-z_]\w*)\s*\(")
 
 
 def split_call(text: str | None) -> tuple[str, list[str]] | None:
@@ -36,15 +36,18 @@ def split_call(text: str | None) -> tuple[str, list[str]] | None:
 
 
 def type_of(argument: str) -> str:
-    """The name of an argument's type by its literal; a name's call is an instance of it, another name is a type of its own."""
+    """The name of the type of an argument's value.
+
+    An argument with a name that isn't known is an instance of what it calls, if it begins with a
+    plain call, else of a type called like the whole argument. Any other failure is text.
+    """
     try:
-        value = ast.literal_eval(argument)
-    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-        m = INSTANCE.match(argument)
-        if m:
-            return m[1]
-        return argument[0].upper() + argument[1:] if argument.isidentifier() else "str"
-    return _named(value)
+        return _named(value_of(argument))
+    except UnknownName:
+        m = CALL.match(argument)
+        return m[1] if m else argument[0].upper() + argument[1:]
+    except NoValue:
+        return "str"
 
 
 def _named(value: object) -> str:
