@@ -167,7 +167,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     smallest = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = space.keep("ids", roots.join(smallest, "component").select(*key, "component_id"))
     steps = range(DEEPEST + 4)
-    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "far", "links-far", *(f"{x}-{k}" for k in steps for x in ("joined", "stars", "links", "centred", "delta-lists", "open", "left", "across")))
+    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "far", "links-far", *(f"{x}-{k}" for k in steps for x in ("joined", "stars", "links", "centred", "open", "left", "across")))
     out = every.select("doc_id", *key).join(ids, key, "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(own_id == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -187,43 +187,43 @@ def _classes_joined(docs: DataFrame, sketches: DataFrame, lists: DataFrame, link
     pairs = space.keep("pairs", _with_sketches(pairs, likely, percent))
     near = space.keep("near", compared(pairs, texts, width, percent))
     centred = space.keep("centred-0", _centred(_around_hubs(near), percent))
-    links = space.keep("links-0", links.unionByName(near.where("linked").select("a", "b")).unionByName(_to_core(centred)).distinct())
+    links = space.keep("links-0", links.unionByName(near.where("linked").select("a", "b")).unionByName(_to_core(centred)))
     joined = _joined(links, none, space, 0)
-    more, turn = _links_of_lists(centred, joined, space, percent)
-    joined = _joined(more, joined, space, turn)
+    more = _links_of_lists(centred, joined, space, percent)
     far = space.keep("far", _far_pairs(lists, hubs, near, joined, likely, percent))
-    more = space.keep("links-far", compared(far, texts, width, percent).where("linked").select("a", "b"))
-    return _joined(more, joined, space, turn + 1)
+    more = more.unionByName(compared(far, texts, width, percent).where("linked").select("a", "b"))
+    return _joined(space.keep("links-far", more), joined, space, DEEPEST + 2)
 
 
-def _links_of_lists(centred: DataFrame, joined: DataFrame, space: Workspace, percent: int) -> tuple[DataFrame, int]:
-    """All links of centred groups that their lists give and that join what isn't joined, and the number of the next step.
+def _links_of_lists(centred: DataFrame, joined: DataFrame, space: Workspace, percent: int) -> DataFrame:
+    """All links of centred groups that their lists give and that join what isn't joined.
 
-    Members of a long list have something in common that others of the group don't have, so the list
-    is a group with a core of its own. After ``DEEPEST`` such steps what is left is met pair by pair.
+    Members of a list whose first member's component leaves out more than ``LIST_MEMBERS`` of them have
+    something in common that others of the group don't have, so the list is a group with a core of its
+    own. After ``DEEPEST`` such steps what is left is met pair by pair.
     """
-    none = joined.sparkSession.createDataFrame([], "a long, b long")
-    found = none
+    every = joined.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(1, DEEPEST + 2):
-        lists = space.keep(f"delta-lists-{turn}", _delta_lists(centred, percent))
-        open_ = space.keep(f"open-{turn}", _open(lists, joined))
+        open_ = space.keep(f"open-{turn}", _open(_delta_lists(centred, percent), joined))
         if not open_.take(1):
-            return found, turn
-        links = space.keep(f"links-{turn}", found.unionByName(_to_smallest(open_, centred, percent)).distinct())
-        joined, found = _joined(links, joined, space, turn), none
-        open_ = space.keep(f"left-{turn}", _open(lists, joined))
-        if not open_.take(1):
-            return found, turn + 1
-        long = _long_lists(open_)
-        deeper = turn <= DEEPEST and bool(long.take(1))
-        short = open_.join(_sizes(open_).where(F.col("size") <= LIST_MEMBERS).select("hub", "element"), ["hub", "element"]) if deeper else open_
-        found = space.keep(f"across-{turn}", _across(short, centred, percent))
+            return every
+        links = space.keep(f"links-{turn}", _to_smallest(open_, centred, percent))
+        every = every.unionByName(links)
+        if 20 * links.count() > open_.count():
+            # Worth a further round of components: fewer pairs are open then. Where there are few links, they wait.
+            joined = _joined(every, joined, space, turn)
+            open_ = space.keep(f"left-{turn}", _open(open_.drop("component", "first_component"), joined))
+        long = _long_lists(open_) if turn <= DEEPEST else open_.limit(0)
+        deeper = bool(long.take(1))
+        short = open_.join(long, ["hub", "element"], "left_anti") if deeper else open_
+        every = every.unionByName(space.keep(f"across-{turn}", _across(short, centred, percent)))
         if not deeper:
-            return found, turn + 1
-        members = open_.join(long, ["hub", "element"]).select("hub", "element", "class").join(centred.select("hub", "class", "n", "delta"), ["hub", "class"])
+            return every
+        same = _sizes(open_).join(long, ["hub", "element"]).groupBy("hub", "size", "sum_1", "sum_2").agg(F.min("element").alias("element"))
+        members = open_.join(same.select("hub", "element"), ["hub", "element"]).select("hub", "element", "class").join(centred.select("hub", "class", "n", "delta"), ["hub", "class"])
         centred = space.keep(f"centred-{turn}", _centred(members.select(F.xxhash64("hub", "element").alias("hub"), "class", "n", "delta"), percent))
-        found = found.unionByName(_to_core(centred))
-    raise AssertionError("the last step goes no deeper")
+        every = every.unionByName(_to_core(centred))
+    return every
 
 
 def _sizes(lists: DataFrame) -> DataFrame:
@@ -233,8 +233,8 @@ def _sizes(lists: DataFrame) -> DataFrame:
 
 
 def _long_lists(lists: DataFrame) -> DataFrame:
-    """``hub, element`` of lists with more than ``LIST_MEMBERS``; of lists with the same members one."""
-    return _sizes(lists).where(F.col("size") > LIST_MEMBERS).groupBy("hub", "size", "sum_1", "sum_2").agg(F.min("element").alias("element")).select("hub", "element")
+    """``hub, element`` of lists with more than ``LIST_MEMBERS`` members outside the first member's component."""
+    return lists.where("component <> first_component").groupBy("hub", "element").agg(F.count(F.lit(1)).alias("outside")).where(F.col("outside") > LIST_MEMBERS).select("hub", "element")
 
 
 def _lists(sketches: DataFrame, percent: int) -> DataFrame:
@@ -326,10 +326,10 @@ def _delta_lists(centred: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(lists: DataFrame, joined: DataFrame) -> DataFrame:
-    """The lists that still have several components and a member that isn't close, with components."""
+    """The lists that still have several components and a member that isn't close, with components; ``first_component`` is that of the member with the smallest difference."""
     now = lists.join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-    some = now.groupBy("hub", "element").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("close").alias("all_close")).where("x <> y AND NOT all_close").select("hub", "element")
-    return now.join(some, ["hub", "element"])
+    some = now.groupBy("hub", "element").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("close").alias("all_close"), F.min(F.struct("d", "class", "component")).alias("top"))
+    return now.join(some.where("x <> y AND NOT all_close").select("hub", "element", F.col("top.component").alias("first_component")), ["hub", "element"])
 
 
 def _apart() -> Column:
@@ -357,11 +357,15 @@ def _to_smallest(lists: DataFrame, centred: DataFrame, percent: int) -> DataFram
 
 
 def _across(lists: DataFrame, centred: DataFrame, percent: int) -> DataFrame:
-    """Links between any two members of a list in different components; the test runs inside the join."""
+    """Links between any two members of a list in different components; the test runs inside the join.
+
+    One of the two isn't in the component of the list's first member, so only such members are held against all.
+    """
     one, two = _sides(centred)
     slim = {side: lists.select("hub", "element", *(F.col(x).alias(f"{x}_{side}") for x in ("class", "close", "component"))) for side in "ab"}
-    one, two = slim["a"].join(one, ["hub", "class_a"]), slim["b"].join(two, ["hub", "class_b"])
-    open_ = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & ~(F.col("close_a") & F.col("close_b"))
+    outside = lists.where("component <> first_component").select("hub", "element", F.col("class").alias("class_a"))
+    one, two = slim["a"].join(outside, ["hub", "element", "class_a"], "left_semi").join(one, ["hub", "class_a"]), slim["b"].join(two, ["hub", "class_b"])
+    open_ = (F.col("component_a") != F.col("component_b")) & ~(F.col("close_a") & F.col("close_b"))
     pairs = one.join(two, (one["hub"] == two["hub"]) & (one["element"] == two["element"]) & open_ & _similar(percent))
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
