@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -74,6 +74,16 @@ def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_no int, chunk string")
 
 
+class _Splitter:
+    def eval(self, text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:
+        yield from enumerate(split_text(text, size, overlap))
+
+
+def register_splitter(spark: SparkSession, name: str = "split_text") -> None:
+    """Makes the splitter a table function in SQL: ``FROM docs, LATERAL split_text(docs.text)``, with size and overlap if wanted."""
+    spark.udtf.register(name, F.udtf(_Splitter, returnType="chunk_no int, chunk string"))
+
+
 def matrix(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
     """The column ``v`` of equally long lists as a matrix."""
     flat = rows.column("v")

@@ -261,6 +261,13 @@ def doc_chunks(spark, sf_dir):
     return retrieval.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def doc_chunks_sql(spark, sf_dir):
+    """The rows of ``doc_chunks`` by a table function."""
+    retrieval.register_splitter(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM {docs} d, LATERAL split_text(d.text) c", docs=docs)
+
+
 def text_wrap(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", tx.wrapped(F.col("text")).alias("text"))
@@ -391,7 +398,7 @@ QUERIES: tuple[Query, ...] = (
     err_tracebacks, err_type, err_target_only, err_test_case, err_name_line, err_is_unittest, err_unittest_summary, err_prompt,
     resp_parse, resp_codellama, resp_stop_strings, call_signature, call_blocks, call_from_assert, call_uncast, call_unbracket, ident_sanitise,
     chat_history_k3, chat_messages, chat_system_prompt, chat_flat, chat_template, chat_dump, ft_records, ft_log_pairs,
-    vec_topk, vec_index_topk, rag_context, doc_chunks, text_wrap, name_allowed, model_tag, program_text,
+    vec_topk, vec_index_topk, rag_context, doc_chunks, doc_chunks_sql, text_wrap, name_allowed, model_tag, program_text,
     data_positions, data_keys, data_selection, data_projection, data_mapped, vec_embed, rag_answer, pull_progress, pull_interventions, pull_rounds, pull_retries, pull_fallback, chat_template_pieces, ft_pairs_all, chat_merged_system, chat_prompt_switch,
 )
 
