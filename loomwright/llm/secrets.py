@@ -109,8 +109,10 @@ class Ledger:
         batches = self._batches(table)
         return self.spark.read.schema(schema).parquet(*batches) if batches else self.spark.createDataFrame([], schema)
 
-    def _add(self, table: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.folder}/{table}/{uuid.uuid4().hex}")
+    def _add(self, table: str, rows: DataFrame) -> str:
+        path = f"{self.folder}/{table}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return path
 
     def scanned(self) -> DataFrame:
         """``blob, rules, findings`` of every pair that has been scanned."""
@@ -126,11 +128,9 @@ class Ledger:
         """Scans what is new in ``versions`` (path, version, text) and returns the rows that were added to the ledger."""
         blobs = versions.select(F.col("path").cast("string"), F.col("version").cast("long"), address(F.col("text")).alias("blob"))
         before = self.scanned() if self._batches("scanned") else None
-        known = set(self._batches("scanned"))
-        self._add("scanned", scan_new(versions, before, rules))
+        added = self._add("scanned", scan_new(versions, before, rules))
         self._add("paths", blobs)
-        new = [b for b in self._batches("scanned") if b not in known]
-        return self.spark.read.schema(LEDGER).parquet(*new)
+        return self.spark.read.schema(LEDGER).parquet(added)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``path, version, blob, findings`` of every version seen, whenever its blob was scanned."""
