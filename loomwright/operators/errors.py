@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free
 from ..functions.text import count_of, let, strip
 
 # The patterns, markers and phrases that results depend on.
@@ -98,7 +99,9 @@ def is_unittest(message: Column) -> Column:
             out = out | line.rlike(pattern)
         return out
 
-    return (plain != "") & F.exists(lines, like)
+    # Every such line has one of these words.
+    told = F.contains(plain, F.lit("OK")) | F.contains(plain, F.lit("Ran")) | F.contains(plain, F.lit("FAIL")) | F.contains(plain, F.lit("ERROR"))
+    return F.when(told, F.exists(lines, like)).otherwise(False)
 
 
 def outcome_counts(line: Column) -> Column:
@@ -128,21 +131,23 @@ def with_prompt(frame: DataFrame, message: str, name: str = "prompt", send_origi
     The steps are columns of their own, so that no search is made twice.
     """
     rule = "-" * 50
-    plain, core, kind, short = (F.col(f"_{c}") for c in ("plain", "core", "kind", "short"))
-    steps = frame.withColumn("_plain", strip(F.regexp_replace(message, r"Process Process-\d+:", "")))
-    steps = steps.withColumn("_core", without_generic(plain)).withColumn("_unittest", is_unittest(plain))
-    steps = steps.withColumn("_kind", type_of_core(core)).withColumn("_short", from_target(core))
-    steps = steps.withColumn("_first", F.when(F.col("_unittest"), F.get(F.coalesce(tracebacks(core), F.array(F.lit(None).cast("string"))), F.lit(0))))
-    first = F.col("_first")
+    names = free(frame.columns, "plain", "core", "unittest", "kind", "short", "first")
+    plain, core, unittest, kind, short, first = map(F.col, names)
+    # Most messages have no process's name, and are spared the search for one.
+    unnamed = F.when(F.contains(F.col(message), F.lit("Process Process-")), F.regexp_replace(message, r"Process Process-\d+:", "")).otherwise(F.col(message))
+    steps = frame.withColumn(names[0], strip(unnamed))
+    steps = steps.withColumn(names[1], without_generic(plain)).withColumn(names[2], is_unittest(plain))
+    steps = steps.withColumn(names[3], type_of_core(core)).withColumn(names[4], from_target(core))
+    steps = steps.withColumn(names[5], F.when(unittest, F.get(F.coalesce(tracebacks(core), F.array(F.lit(None).cast("string"))), F.lit(0))))
     block = F.concat(F.lit(f"{rule}\nError 1:\nError type: "), type_of_core(strip(first)), F.lit("\n"), first, F.lit(rule))
     asserted = _filled(FAILED_CASE, test_case(short, old_name, entry_point), short) if extract_test_case else _filled(FAILED_ANY, short)
     # What is left from the target file on has no wrapper's text, or the type would be null.
     other = plain if send_original else _filled(OTHER_PROMPT, type_of_core(short), short)
     told = (
-        F.when(F.col("_unittest"), strip(_filled(UNITTEST_PROMPT, F.when(F.size(found_tracebacks(core)) == 0, F.lit(rule)).otherwise(block))))
+        F.when(unittest, strip(_filled(UNITTEST_PROMPT, F.when(F.size(found_tracebacks(core)) == 0, F.lit(rule)).otherwise(block))))
         .when(kind == "AssertionError", asserted)
         .when(kind == "NameError", _filled(NAME_PROMPT, F.when(type_of_core(short) == "NameError", strip(F.element_at(F.split(short, "\n"), -1))).otherwise(short)))
         .when(kind == "RecursionError", F.lit(RECURSION_PROMPT))
         .when(kind.isNotNull(), other)
     )
-    return steps.withColumn(name, told).drop("_plain", "_core", "_unittest", "_kind", "_short", "_first")
+    return steps.withColumn(name, told).drop(*names)

@@ -84,7 +84,7 @@ BLOCK = 1000
 
 def _numbered(turns: DataFrame, role: str) -> DataFrame:
     """``conv_id, k, text``: the turns of a role with their numbers in the conversation, counted by blocks of turns and blocks of these."""
-    own = turns.where(F.col("role") == role).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    own = turns.where(F.col("role") == role).withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 40)).cast("long")) / BLOCK))
     counts = own.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("top", F.floor(F.col("block") / BLOCK))
     before = lambda *by: Window.partitionBy("conv_id", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     tops = counts.groupBy("conv_id", "top").agg(F.sum("n").alias("n"))
@@ -98,7 +98,8 @@ def paired_turns(turns: DataFrame) -> DataFrame:
     """``conv_id, k, question, answer``: the k-th question of each conversation with its k-th answer, all of them.
 
     What ``log_pairs`` does for a log's text, for its turns: no conversation is gathered, and one of
-    any length is spread over tasks by blocks of its turns. Turns that tie are ordered by their texts.
+    any length is spread over tasks by blocks of its turns. Turns that tie are ordered by their texts; one
+    without a number comes first.
     """
     asked, told = (_numbered(turns, role).withColumnRenamed("text", name) for role, name in (("user", "question"), ("assistant", "answer")))
     return asked.join(told, ["conv_id", "k"])

@@ -25,8 +25,12 @@ def test_all_pairs_of_a_long_conversation_in_blocks(spark, monkeypatch):
 
 def test_a_long_conversation_is_spread_over_tasks(spark):
     turns = spark.range(1_000_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "cast(id AS string) AS text")
-    numbered = responses._numbered(turns, "user")
-    sizes = [r["n"] for r in numbered.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    # Half a million short rows are little to Spark, which would put its partitions together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in responses._numbered(turns, "user").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(sizes) == 500_000 and max(sizes) < 250_000
     assert responses.paired_turns(turns).where("answer = question + 1 AND k = question / 2").count() == 500_000
 
@@ -52,7 +56,7 @@ def test_the_table_function_gives_the_chunks(spark, sf_dir):
 def test_rounds_retries_and_fallback(spark):
     at = lambda s: NOON + timedelta(seconds=s)
     rows = [("a", "pulling", 10, 100, at(0)), ("a", "pulling", 30, 100, at(5)), ("a", "pulling", 50, 100, at(100)), ("a", "Success", None, None, at(104))]
-    rows += [("b", "pulling", k, 100, at(100 * k)) for k in range(12)] + [("b", "success", 1, 1, at(1200)), ("c", "pulling", 1, 100, at(0))]
+    rows += [("b", "pulling", k, 100, at(100 * k)) for k in range(12)] + [("b", "success", None, None, at(1200)), ("c", "pulling", 1, 100, at(0))]
     events = spark.createDataFrame(rows, "model string, status string, completed long, total long, at timestamp")
     found = progress.rounds(events, "30 seconds")
     assert [(r["n"], r["top"], r["done"]) for r in found.where("model = 'a'").orderBy("began").collect()] == [(2, 30.0, False), (2, 50.0, True)]

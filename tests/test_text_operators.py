@@ -117,3 +117,15 @@ def test_history_is_bounded_and_turns_alternate(spark):
 def test_outcomes(spark):
     rows = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (2, 0, 1), (2, 5, 1), (2, 6, 0)], "task long, attempt int, returncode int")
     assert sorted(map(tuple, runs.outcomes(rows).collect())) == [(1, 1, "pass"), (2, 5, "fail")]
+
+
+def test_prompts_beside_columns_of_any_name(spark):
+    """Helper columns take no name that is there; every kind of a runner's line is seen."""
+    names = ("plain", "core", "_kind", "SHORT", "first", "unittest", "prompt")
+    rows = [(TB + "NameError: name 'x'", *names), ("Process Process-3:\n" + TB + "KeyError: 'a'", *names), (None, *names)]
+    frame = spark.createDataFrame(rows, "stderr string, " + ", ".join(f"`{n}` string" for n in names))
+    got = errors.with_prompt(frame, "stderr", "told")
+    assert got.columns == [*frame.columns, "told"] and {tuple(r)[1:-1] for r in got.collect()} == {names}
+    assert [r["told"] is not None for r in got.collect()] == [True, True, False]
+    for line in ("FAIL: test_a (x.T)", "ERROR: test_b (x.T)", "FAILED (errors=1)", "OK", "Ran 1 test in 0.1s"):
+        assert one(spark, errors.is_unittest, f"..\n{line}\n")
