@@ -21,10 +21,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _by_id(docs: DataFrame) -> DataFrame:
+    """The rows in the order of their ids, which Spark's writers keep over the files; Spark reads files in the order of their sizes."""
+    return docs.orderBy(F.col("doc_id").asc_nulls_last())
+
+
 def data_jsonl(spark, sf_dir):
     """Objects of JSON lines, through our own source, with their positions in the files."""
     path = _folder(spark)
-    _documents(spark, sf_dir).select("doc_id", "text", "lang").write.json(path)
+    _by_id(_documents(spark, sf_dir).select("doc_id", "text", "lang")).write.json(path)
     rows = reader.read_positioned(spark, path, "doc_id long, text string, lang string")
     return rows.select("doc_id", F.col("_pos").alias("position"), "lang", F.sha2("text", 256).alias("text_sha256"))
 
