@@ -37,7 +37,7 @@ def data_jsonl(spark, sf_dir):
 def data_jsonl_head(spark, sf_dir):
     """The first hundred objects: the subset is the feature, and only its splits are read."""
     path = _folder(spark)
-    _documents(spark, sf_dir).select("doc_id", "n_chars").write.json(path)
+    _by_id(_documents(spark, sf_dir).select("doc_id", "n_chars")).write.json(path)
     return reader.read_positioned(spark, path, "doc_id long, n_chars long", 100).select("doc_id", F.col("_pos").alias("position"), "n_chars")
 
 

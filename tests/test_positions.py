@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["data_jsonl"])
+@pytest.mark.parametrize("name", ["data_jsonl", "data_jsonl_head"])
 def test_positions_are_those_of_the_ids(spark, duck, folder, name):
     sql = catalogue.oracle_sql()[name]
     before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
