@@ -291,8 +291,8 @@ def program_text(spark, sf_dir):
 
 
 def data_positions(spark, sf_dir):
-    """Positions of the rows of a file that is in the order of its ids."""
-    return io.with_positions(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")).select("doc_id", F.col("_pos").alias("position"))
+    """Positions of the rows in the order of their ids, in however many files and splits they are."""
+    return io.positions_by(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), F.col("doc_id").asc_nulls_last()).select("doc_id", F.col("_pos").alias("position"))
 
 
 def data_keys(spark, sf_dir):

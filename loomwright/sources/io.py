@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, fields
 from pathlib import Path
@@ -12,27 +13,50 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import ATTEMPT_LOG
+from .shared import shared_folder
 
 
-def with_positions(frame: DataFrame, name: str = "_pos") -> DataFrame:
-    """Numbers rows from 0 on in the order of the files' splits, without one task for all of them.
+def _placed(numbered: DataFrame, name: str, *place: Column) -> DataFrame:
+    """Rows with Spark's ids in ``_id`` numbered from 0 on, without one task for all: ids go up by one within a place; the rows of places before are added.
 
-    Spark's own increasing ids have the partition in the upper bits; the rows of the
-    partitions before are added in their place. One small row for each partition is gathered.
+    One small row for each place is gathered.
     """
+    found = numbered.groupBy(F.struct(*(c.alias(f"p{k}") for k, c in enumerate(place))).alias("_place")).agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    total, starts = 0, []
+    for at, first, n in sorted(tuple(r) for r in found.collect()):
+        starts.append((at, total - first))
+        total += n
+    offsets = F.broadcast(numbered.sparkSession.createDataFrame(starts, f"_place {found.schema['_place'].dataType.simpleString()}, _offset long").select("_place.*", "_offset"))
+    keyed = numbered.withColumns({f"p{k}": c for k, c in enumerate(place)})
+    keys = [f"p{k}" for k in range(len(place))]
+    return keyed.join(offsets, keys).withColumn(name, F.col("_offset") + F.col("_id")).drop("_id", "_offset", *keys)
+
+
+def with_positions(frame: DataFrame, name: str = "_pos") -> DataFrame:
+    """Numbers rows from 0 on in the order of the partitions, whose number Spark's ids have in the upper bits."""
     numbered = frame.withColumn("_id", F.monotonically_increasing_id())
-    part, inner = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = sorted((r[0], r[1]) for r in numbered.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())
-    total, starts = 0, {}
-    for p, n in counts:
-        starts[p], total = total, total + n
-    offsets = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)) if starts else F.create_map().cast("map<int,bigint>")
-    return numbered.withColumn(name, (F.try_element_at(offsets, part) + inner).cast("long")).drop("_id")
+    return _placed(numbered, name, F.shiftright("_id", 33))
+
+
+def with_file_positions(frame: DataFrame, name: str = "_pos") -> DataFrame:
+    """Numbers the rows of files by the files' paths and in the order of each file; Spark deals splits to partitions by their size."""
+    numbered = frame.select("*", F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return _placed(numbered, name, F.col("_file"), F.col("_block")).drop("_file", "_block")
+
+
+def positions_by(frame: DataFrame, *order: Column, name: str = "_pos") -> DataFrame:
+    """Numbers rows from 0 on in this order.
+
+    The sorted rows are written with their ids first: the bounds of a sort's partitions are drawn anew in each run.
+    """
+    at = f"{shared_folder(frame.sparkSession)}/positions-{uuid.uuid4().hex}"
+    frame.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(at)
+    return _placed(frame.sparkSession.read.parquet(at), name, F.shiftright("_id", 33))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, subset_size: int | None = None) -> DataFrame:
     """One object per line with positions; with ``subset_size`` the first ones only. A bad line fails the read."""
-    rows = with_positions(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+    rows = with_file_positions(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
     return rows if subset_size is None else rows.where(F.col("_pos") < subset_size)
 
 

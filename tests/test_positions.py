@@ -7,6 +7,7 @@ from helpers import assert_same
 from pyspark.sql import functions as F
 
 from loomwright.plans import catalogue
+from loomwright.sources import io
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +25,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["data_jsonl", "data_jsonl_head"])
+@pytest.mark.parametrize("name", ["data_positions", "data_jsonl", "data_jsonl_head"])
 def test_positions_are_those_of_the_ids(spark, duck, folder, name):
     sql = catalogue.oracle_sql()[name]
     before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -38,3 +39,11 @@ def test_positions_are_those_of_the_ids(spark, duck, folder, name):
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before[0])
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
+
+
+def test_jsonl_positions_follow_the_names_of_files(spark, tmp_path):
+    for k, n in enumerate((3, 50, 7)):
+        (tmp_path / f"{k}.jsonl").write_text("".join(f'{{"x": "{k}-{i:02d}"}}\n' for i in range(n)))
+    rows = io.read_jsonl(spark, str(tmp_path), "x string")
+    assert [r["x"] for r in io.in_order(rows)] == [f"{k}-{i:02d}" for k, n in enumerate((3, 50, 7)) for i in range(n)]
+    assert [r["_pos"] for r in io.in_order(rows)] == list(range(60))
