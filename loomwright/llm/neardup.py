@@ -60,6 +60,8 @@ LIST_MEMBERS = 64
 DEEPEST = 4
 #: Partitions that a hub's members are dealt over at least.
 SALTS = 64
+#: Tables that the result is read from.
+RESULT = ("prints", "ids")
 #: Keys of the hash of candidates and of the one that confirms them.
 PROPOSE, CONFIRM = 1, 2
 
@@ -124,6 +126,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
 def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b, n_a, n_b, linked, delta``: each pair held against each other on full sets; delta has what only one of them has.
 
+    Elements of ``delta`` are hashes whose lowest bit tells whether a has them.
     ``texts``: doc_id, text of at least all documents in ``pairs``.
     """
     names = ["a", "b", "n_a", "n_b", "linked", "delta"]
@@ -136,7 +139,8 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 x = seen.get(a)
                 if x is None:
                     x = seen[a] = shingle_sets(part.column("text_a").slice(k, 1), width, CONFIRM)[0]
-                delta = np.setxor1d(x, y, assume_unique=True)
+                gone, new = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                delta = np.concatenate([gone | np.uint64(1), new & ~np.uint64(1)])
                 both = (len(x) + len(y) - len(delta)) // 2
                 rows.append((a, b, len(x), len(y), 100 * both >= percent * (both + len(delta)), delta.view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
@@ -147,9 +151,12 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return small_batches(whole).mapInArrow(run, "a long, b long, n_a long, n_b long, linked boolean, delta array<long>")
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row: its near-duplicates' smallest id, and whether that is its own."""
-    space = Workspace(docs.sparkSession)
+def groups(docs: DataFrame, width: int = 5, percent: int = 80, space: Workspace | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row: its near-duplicates' smallest id, and whether that is its own.
+
+    The result is read from the tables ``RESULT`` of ``space``.
+    """
+    space = space or Workspace(docs.sparkSession)
     key = ["fa", "fb", "n_shingles"]
     every = space.keep("prints", prints(docs, width))
     known = every.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -167,7 +174,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     smallest = roots.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = space.keep("ids", roots.join(smallest, "component").select(*key, "component_id"))
     steps = range(DEEPEST + 4)
-    space.drop("sketches", "lists", "listed", "texts", "hubs", "pairs", "near", "far", "links-far", *(f"{x}-{k}" for k in steps for x in ("joined", "stars", "links", "centred", "open", "left", "across")))
+    space.drop("sketches", "lists", "listed", "texts", "hubs", "near", "far", "links-far", *(f"{x}-{k}" for k in steps for x in ("joined", "stars", "links", "centred", "able", "open", "left", "across")))
     out = every.select("doc_id", *key).join(ids, key, "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own_id.alias("component_id"), F.coalesce(own_id == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -186,6 +193,7 @@ def _classes_joined(docs: DataFrame, sketches: DataFrame, lists: DataFrame, link
     pairs = lists.join(hubs, "value").where("class <> hub").groupBy(F.col("hub").alias("a"), F.col("class").alias("b")).agg((F.max("size") > LIST_MEMBERS).alias("long"))
     pairs = space.keep("pairs", _with_sketches(pairs, likely, percent))
     near = space.keep("near", compared(pairs, texts, width, percent))
+    space.drop("pairs")
     centred = space.keep("centred-0", _centred(_around_hubs(near), percent))
     links = space.keep("links-0", links.unionByName(near.where("linked").select("a", "b")).unionByName(_to_core(centred)))
     joined = _joined(links, none, space, 0)
@@ -204,7 +212,8 @@ def _links_of_lists(centred: DataFrame, joined: DataFrame, space: Workspace, per
     """
     every = joined.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(1, DEEPEST + 2):
-        open_ = space.keep(f"open-{turn}", _open(_delta_lists(centred, percent), joined))
+        able = space.keep(f"able-{turn}", _with_partners(_outside(centred, joined), percent))
+        open_ = space.keep(f"open-{turn}", _open(_delta_lists(able, percent), joined))
         if not open_.take(1):
             return every
         links = space.keep(f"links-{turn}", _to_smallest(open_, centred, percent))
@@ -278,6 +287,8 @@ def _around_hubs(near: DataFrame) -> DataFrame:
 def _centred(rows: DataFrame, percent: int) -> DataFrame:
     """``hub, class, n, delta, d, slack, most, best``: members of groups by their difference from the core of the group.
 
+    The lowest bit of an element tells whether the core has it, as it tells in ``rows`` of what their differences are from.
+
     With sizes n and differences d from anything, two sets are similar enough if ``(100 - p) (n_x + n_y)``
     is no less than ``(100 + p)`` times what only one of them has, which is ``d_x + d_y`` less twice what
     the differences share. ``slack`` is a member's part of that without the shared ones, ``best`` the
@@ -290,7 +301,7 @@ def _centred(rows: DataFrame, percent: int) -> DataFrame:
     spread = sizes.join(core, "hub", "left").select("hub", F.coalesce("core", F.array().cast("array<long>")).alias("core"))
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(spread, ["hub", "salt"])
-    turned = salted.select("hub", "salt", "class", "n", F.concat(F.array_except("delta", "core"), F.array_except("core", "delta")).alias("delta"))
+    turned = salted.select("hub", "salt", "class", "n", F.concat(F.array_except("delta", "core"), F.transform(F.array_except("core", "delta"), lambda e: e.bitwiseXOR(F.lit(1)))).alias("delta"))
     d = F.size("delta")
     sized = turned.withColumn("d", d).withColumn("slack", (100 - percent) * F.col("n") - (100 + percent) * d)
     most = sized.groupBy("hub").agg(F.max(F.struct("slack", "class")).alias("x")).select("hub", F.col("x.slack").alias("most"), F.col("x.class").alias("best"))
@@ -303,25 +314,67 @@ def _to_core(centred: DataFrame) -> DataFrame:
     return centred.where("slack + most >= 0 AND class <> best").select(F.col("best").alias("a"), F.col("class").alias("b"))
 
 
+def _outside(centred: DataFrame, joined: DataFrame) -> DataFrame:
+    """The groups that have members outside the component of their closest one, and which members these are; close members never are.
+
+    Of two members that are to be joined one is such a member, so what none of them has in its
+    difference is shared by no pair that is still open.
+    """
+    of, best = (joined.select(F.col("node").alias(k), F.col("component").alias(v)) for k, v in (("class", "own"), ("best", "main")))
+    told = centred.join(of, "class", "left").join(best, "best", "left").withColumn("outside", F.coalesce("own", "class") != F.coalesce("main", "best")).drop("own", "main")
+    return _of_open_groups(told)
+
+
+def _of_open_groups(told: DataFrame) -> DataFrame:
+    return told.join(told.where("outside").select("hub").distinct(), "hub", "left_semi")
+
+
+def _with_partners(told: DataFrame, percent: int) -> DataFrame:
+    """The members of which a similar one can be there, by what they have beside the core and no other member has.
+
+    What only one of two sets has is half of their difference and of the first's size less the other's.
+    Most members of a template or of a base with many edits end here.
+    """
+    t, part = percent / 100, (100 - percent) / (100 + percent)
+    extra = told.select("hub", "class", F.explode(F.filter("delta", lambda e: e.bitwiseAND(F.lit(1)) == 0)).alias("element"))
+    own = extra.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("class")).where("df = 1")
+    alone = own.groupBy("hub", "class").agg(F.count(F.lit(1)).alias("alone"))
+    least = told.groupBy("hub").agg(F.min("n").alias("n_least"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = told.join(alone, ["hub", "class"], "left").withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(least, ["hub", "salt"])
+    other = F.greatest(F.col("n_least"), F.col("n") * t)
+    left = salted.where(2 * F.coalesce("alone", F.lit(0)) <= F.col("n") - other + part * (F.col("n") + other) + 1e-6).drop("alone", "n_least", "salt")
+    return _of_open_groups(left)
+
+
 def _delta_lists(centred: DataFrame, percent: int) -> DataFrame:
-    """``hub, element, class, d, close``: members of hubs under their difference's rarest shingles.
+    """``hub, element, class, d, close``: members of hubs under their difference's rarest shingles, of those that an ``outside`` member has.
 
     ``close`` members are linked to the closest one, so of a pair that is still open one isn't close. Two
     must share ``-(slack_x + slack_y) / (2 (100 + p))`` elements; that a partner's slack is no more than the
     most there is, or less than its negative where it isn't close itself, gives the least that a member
     can share with any partner. A shared part is also no less than the difference without all that the
-    member and a similar set can differ by.
+    member and a similar set can differ by. ``gain`` is what a difference has of elements that can be
+    shared, less the others: two members differ by no less than the one's difference less the other's
+    gain, so a member that is too far from the core for the largest gain of its group has no partner.
     """
-    t, per = percent / 100, 2 * (100 + percent)
+    t, per, part = percent / 100, 2 * (100 + percent), (100 - percent) / (100 + percent)
     close = F.col("slack") + F.col("most") >= 0
     rows = centred.withColumn("close", close).where("d > 0")
-    least = F.when(F.col("close"), (F.col("most") - F.col("slack")) / per).otherwise(F.greatest(-(F.col("slack") + F.col("most")) / per, F.col("d") - F.col("n") * (1 - t) / t))
-    # A little less than the bound, for the rounding of it.
-    room = F.col("d") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1
-    elements = rows.select("hub", "class", F.explode("delta").alias("element"))
-    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    found = elements.join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("found"))
-    sized = found.join(rows.select("hub", "class", "d", "close", room.alias("room")), ["hub", "class"]).withColumn("room", F.col("room") - (F.col("d") - F.size("found"))).where("room > 0")
+    elements = rows.select("hub", "class", "outside", F.explode("delta").alias("element"))
+    # What only members of one component have is as good as what nobody else has.
+    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"), F.max("outside").alias("outside")).where("df > 1 AND outside").select("hub", "element", "df")
+    found = elements.select("hub", "class", "element").join(often, ["hub", "element"]).groupBy("hub", "class").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("found"))
+    held = found.join(rows.select("hub", "class", "n", "d", "slack", "most", "close"), ["hub", "class"]).withColumn("gain", 2 * F.size("found") - F.col("d"))
+    tops = held.groupBy("hub").agg(F.max("gain").alias("gain"), F.max("n").alias("n_most")).withColumnRenamed("gain", "top")
+    tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = held.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(tops, ["hub", "salt"]).drop("salt")
+    # What the member and a similar set of the group can differ by.
+    apart = part * (F.col("n") + F.least(F.col("n") / t, F.col("n_most")))
+    least = F.when(F.col("close"), (F.col("most") - F.col("slack")) / per).otherwise(F.greatest(-(F.col("slack") + F.col("most")) / per, F.col("d") - apart))
+    # A little less than the bounds, for the rounding of them.
+    room = F.size("found") - F.greatest(F.ceil(least - 1e-6), F.lit(1)) + 1
+    sized = held.where(F.col("d") - F.col("top") <= apart + 1e-6).withColumn("room", room).where("room > 0")
     return sized.select("hub", "class", "d", "close", F.explode(F.slice("found", 1, F.col("room").cast("int"))).alias("x")).select("hub", "class", "d", "close", F.col("x.element").alias("element"))
 
 
@@ -401,7 +454,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Of rows with the same id the one with the smallest text stays. All columns stay as they are.
     """
-    gone = groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    space = Workspace(docs.sparkSession)
+    gone = space.keep("gone", groups(docs, width, percent, space).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+    space.drop(*RESULT)
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
     if not repeated.take(1):

@@ -10,6 +10,8 @@ from ..sources.shared import shared_folder
 
 #: Rows of an Arrow batch: texts of some thousand bytes make batches of some megabytes, on both sides of the pipe.
 BATCH_ROWS = 2000
+#: Makes Spark delete an execution's shuffle files at its end, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
@@ -22,7 +24,7 @@ def small_batches(table: DataFrame) -> DataFrame:
 
 
 class Workspace:
-    """Tables of one run. Written ones cut the lineage and outlive the executors that made them."""
+    """Tables of one run. Written ones cut the lineage and outlive the executors that made them; their shuffle files go at once."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -30,7 +32,13 @@ class Workspace:
 
     def keep(self, name: str, table: DataFrame) -> DataFrame:
         at = f"{self.path}/{name}"
-        table.write.mode("overwrite").parquet(at)
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            table.write.mode("overwrite").parquet(at)
+        finally:
+            conf.set(_CLEANUP, before) if before else conf.unset(_CLEANUP)
         return self.spark.read.schema(table.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

@@ -158,3 +158,53 @@ def test_documents_of_one_template(spark, monkeypatch, own):
     got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
     assert got == brute(rows, 3, 85)
     assert sum(tried) < 20 * len(rows)
+
+
+def test_copies_with_words_of_their_own_make_no_lists(spark, tmp_path):
+    """Copies whose edits are nobody else's have no partner but the base, so their differences aren't listed; those that share edits are linked."""
+    import random
+
+    from loomwright.llm.storage import Workspace
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 6), 6):
+            words[at] = f"own{k}-{at}"
+        texts.append(words)
+    # Two that share all edits but one.
+    texts.append([*texts[0][:75], "other", *texts[0][76:]])
+    docs = spark.createDataFrame([(0, " ".join(base)), *((k + 1, " ".join(x)) for k, x in enumerate(texts))], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, k + 1) for k in range(len(texts))], "a long, b long")
+    space = Workspace(spark)
+    near = space.keep("near", neardup.compared(pairs, docs, 5, 80))
+    centred = space.keep("centred", neardup._centred(neardup._around_hubs(near), 80))
+    joined = spark.createDataFrame([], "node long, component long")
+    able = neardup._with_partners(neardup._outside(centred, joined), 80)
+    assert {1, 61} <= {r["class"] for r in able.collect()} <= {0, 1, 61}
+    links = neardup._links_of_lists(centred, joined, space, 80)
+    assert {frozenset(r) for r in links.select("a", "b").collect()} == {frozenset((1, 61))}
+
+
+def test_shuffle_files_go_with_the_table_that_needed_them(spark):
+    import time
+
+    from loomwright.llm.storage import Workspace
+
+    def held() -> int:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        n = 0
+        while files.hasNext():
+            n += files.next().getName().startswith("shuffle_")
+        return n
+
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    before = held()
+    table = Workspace(spark).keep("counts", spark.range(20000).selectExpr("id % 977 AS k").groupBy("k").count())
+    until = time.time() + 20
+    while held() > before and time.time() < until:
+        time.sleep(0.2)
+    assert held() <= before and table.count() == 977
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
