@@ -32,8 +32,8 @@ def _stream(spark: SparkSession, folder: str, batches: list[DataFrame]) -> DataF
     return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in/*")
 
 
-def _drained(stream: DataFrame, folder: str) -> Appended:
-    return drained(stream, Appended(stream.sparkSession, f"{folder}/out"), f"{folder}/checkpoint")
+def _drained(stream: DataFrame, folder: str, mode: str = "append") -> Appended:
+    return drained(stream, Appended(stream.sparkSession, f"{folder}/out"), f"{folder}/checkpoint", mode=mode)
 
 
 def run_status_stream(spark, sf_dir):
@@ -43,7 +43,7 @@ def run_status_stream(spark, sf_dir):
     made = derived.view(spark, sf_dir, derived.RUNS, "lineitem").select("task", F.col("attempt").cast("int").alias("attempt"), "returncode", at.alias("at"))
     number = F.pmod(F.xxhash64("task", "attempt"), F.lit(BATCHES))
     batches = [made.where((number == k) | ((number == k - 1) & (F.col("task") % 5 == 0))) for k in range(BATCHES)]
-    changed = _drained(arriving.changes(_stream(spark, folder, batches), late="1 day"), folder)
+    changed = _drained(arriving.tallies(_stream(spark, folder, batches), late="1 day"), folder, "update")
     return runs.progress(arriving.settled(changed.read()).withColumn("attempt", F.col("attempt").cast("long")))
 
 

@@ -70,13 +70,25 @@ def changes(runs: DataFrame, last: int = LAST_ATTEMPT, late: str = "10 minutes",
     return timed.groupBy("task").transformWithState(_Task(last, patience_seconds * 1000), CHANGES, "Append", "EventTime")
 
 
+def tallies(runs: DataFrame, last: int = LAST_ATTEMPT, late: str = "10 minutes", span: str = "1 day") -> DataFrame:
+    """``task, made, passed`` by tasks and spans of time, for sinks in update mode: Spark's own aggregate holds the bits, so no row goes through Python.
+
+    For many tasks, where nobody waits for their ends. The state of a span is dropped when no more
+    runs of it are waited for; a later span's rows add to the others. Runs without a time are passed over.
+    """
+    bit = F.expr("shiftleft(1L, attempt)")
+    timed = runs.select(F.col("task").cast("long").alias("task"), F.col("attempt").cast("int").alias("attempt"), F.col("returncode").cast("int").alias("returncode"), "at").where(F.col("attempt").between(0, last)).withWatermark("at", late)
+    passed = F.when(F.col("returncode") == 0, bit).otherwise(F.lit(0).cast("long"))
+    return timed.groupBy("task", F.window("at", span)).agg(F.bit_or(bit).alias("made"), F.bit_or(passed).alias("passed")).select("task", "made", "passed")
+
+
 def _lowest(bits: Column) -> Column:
     """The number of the lowest bit that is set."""
     return F.log2(bits.bitwiseAND(-bits).cast("double")).cast("int")
 
 
 def settled(changed: DataFrame, every: int = 0) -> DataFrame:
-    """``task, attempt, status`` of each task by all rows of ``changes`` so far, and with ``every`` its ``fresh_starts``: attempts made whose number is a multiple."""
+    """``task, attempt, status`` of each task by all rows of ``changes`` or ``tallies`` so far, and with ``every`` its ``fresh_starts``: attempts made whose number is a multiple."""
     bits = changed.groupBy("task").agg(F.bit_or("made").alias("made"), F.bit_or("passed").alias("passed"))
     attempt = F.when(F.col("passed") > 0, _lowest(F.col("passed"))).otherwise(F.floor(F.log2(F.col("made").cast("double"))).cast("int"))
     out = bits.select("task", attempt.alias("attempt"), F.when(F.col("passed") > 0, "pass").otherwise("fail").alias("status"), "made")

@@ -22,12 +22,12 @@ def _state_store(spark: SparkSession):
         spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
 
 
-def drained(stream: DataFrame, to: Appended, checkpoint: str, run: str = "run") -> Appended:
+def drained(stream: DataFrame, to: Appended, checkpoint: str, run: str = "run", mode: str = "append") -> Appended:
     """Runs a stream over all input that is there and appends each of its batches to a table, once.
 
     What was read and the state are kept in ``checkpoint``, so a later call goes on from there.
     """
     with _state_store(stream.sparkSession):
-        query = stream.writeStream.foreachBatch(to.sink(run)).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(to.sink(run)).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     return to

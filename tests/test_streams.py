@@ -59,6 +59,17 @@ def test_tasks_that_nobody_goes_on_with_are_closed(spark, tmp_path):
     assert {(1, 1, "pass"), (2, 1, "fail"), (3, 0, "pass"), (4, 0, "fail")} == set(outcome(attempts.settled(table)))
 
 
+def test_tallies_settle_as_one_table_without_python(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(t, a, int(rng.random() < 0.6), NOON + timedelta(hours=9 * a)) for t in range(40) for a in range(rng.randint(1, 9))]
+    rows = [r for r in rows if not (r[1] and any(s[0] == r[0] and s[1] < r[1] and s[2] == 0 for s in rows))]
+    arrived = rng.sample(rows, len(rows)) + rng.sample(rows, 30)
+    stream = attempts.tallies(streamed(spark, tmp_path, RUN, [arrived[k::3] for k in range(3)], "in"), late="10 days")
+    assert "Python" not in stream._jdf.queryExecution().logical().toString() and "TransformWithState" not in stream._jdf.queryExecution().logical().toString()
+    table = drained(stream, Appended(spark, f"{tmp_path}/out"), f"{tmp_path}/checkpoint", mode="update")
+    assert outcome(attempts.settled(table.read())) == outcome(runs.outcomes(spark.createDataFrame(rows, RUN)))
+
+
 def turns(seed: int) -> list[tuple]:
     rng = random.Random(seed)
     return [(c, t, rng.choice(("user", "assistant", "system", "assistant")) if rng.random() < 0.3 else ("user", "assistant")[t % 2], rng.choice((f"text {t}", "", None))) for c in range(12) for t in range(rng.randint(0, 14))]
