@@ -20,6 +20,8 @@ NO_ANSWER = "Couldn't generate a response at this time. Please try again later."
 RAG_PROMPT = "You are a document search assistant. Answer the following question based on the provided context only."
 #: Query vectors and base vectors that meet in one group, about, and queries of it that are multiplied at a time.
 QUERY_BLOCK, BASE_BLOCK, QUERY_ROWS = 2048, 16384, 256
+#: Vectors that these meet at a time; memory grows with this, not with the block.
+BASE_ROWS = 2048
 #: Similarities count as equal up to so many digits; the smaller id comes first then.
 DIGITS = 9
 
@@ -103,9 +105,15 @@ def best_of(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         out = []
         for at in range(0, left.num_rows, QUERY_ROWS):
             part = left.slice(at, QUERY_ROWS)
-            sims = np.round(matrix(part) @ vectors, DIGITS)
-            order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims))[:, :k]
-            out.append((np.repeat(part.column("qid").to_numpy(), order.shape[1]), ids[order].ravel(), np.take_along_axis(sims, order, 1).ravel()))
+            asked, sims, near = matrix(part), np.zeros((part.num_rows, 0)), np.zeros((part.num_rows, 0), np.int64)
+            for first in range(0, len(ids), BASE_ROWS):
+                own = ids[first : first + BASE_ROWS]
+                # The best so far and these.
+                sims = np.concatenate([sims, np.round(asked @ vectors[:, first : first + BASE_ROWS], DIGITS)], 1)
+                near = np.concatenate([near, np.broadcast_to(own, (part.num_rows, len(own)))], 1)
+                order = np.lexsort((near, -sims))[:, :k]
+                sims, near = np.take_along_axis(sims, order, 1), np.take_along_axis(near, order, 1)
+            out.append((np.repeat(part.column("qid").to_numpy(), near.shape[1]), near.ravel(), sims.ravel()))
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
 
     return best

@@ -70,3 +70,26 @@ def test_small_and_empty_indexes(spark, tmp_path):
     assert rows(ix.VectorIndex.build(few, f"{tmp_path}/few").nearest(queries)) == [(0, 1, 0, 1.0), (0, 2, 1, 0.0)]
     zeros = frame(spark, [[0.0, 0.0], [0.0, 0.0]])
     assert rows(ix.VectorIndex.build(zeros, f"{tmp_path}/zeros").nearest(queries)) == [(0, 1, 0, 0.0), (0, 2, 1, 0.0)]
+
+
+def test_the_best_of_a_block_are_found_in_little_memory():
+    """The same vectors as by sorting all similarities at once, ties by id included, without a matrix of all of them."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from loomwright.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    table = lambda name, v: pa.table({name: pa.array(rng.permutation(len(v))), "v": pa.array(list(v))})
+    asked, there = table("qid", rng.integers(-2, 3, (256, 4)).astype(float)), table("vec_id", rng.integers(-2, 3, (12000, 4)).astype(float))
+    tracemalloc.start()
+    got = retrieval.best_of(3)(asked, there)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sims = np.round(retrieval.matrix(asked) @ retrieval.matrix(there).T, retrieval.DIGITS)
+    ids = there.column("vec_id").to_numpy()
+    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims))[:, :3]
+    assert got.column("vec_id").to_pylist() == ids[order].ravel().tolist()
+    assert peak < sims.nbytes
